@@ -17,11 +17,29 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skirmish.llm.language import identify_documents
+
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skirmish.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skirmish.llm.mixing import mix_documents
+
+    return mix_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skirmish.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary())
 
 
-QUERIES: dict[str, Query] = {"op10_best_fit_packing": op10_best_fit_packing}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_kd_sharding, op7_pfair_mixing, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
