@@ -29,6 +29,12 @@ def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op3_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skirmish.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4, threshold=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skirmish.llm.mixing import mix_documents
 
@@ -41,5 +47,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_kd_sharding, op7_pfair_mixing, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_kd_sharding, op3_chosen_path_dedup, op7_pfair_mixing, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
