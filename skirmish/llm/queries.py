@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skirmish.llm.common import table
 
@@ -41,11 +42,18 @@ def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skirmish.llm.repeats import remove_repeats
+
+    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.col("_sha256").alias("kept_sha256"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skirmish.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_kd_sharding, op3_chosen_path_dedup, op7_pfair_mixing, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_kd_sharding, op3_chosen_path_dedup, op7_pfair_mixing, op8_suffix_dedup, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
