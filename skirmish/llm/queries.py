@@ -36,6 +36,12 @@ def op3_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, threshold=80).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op4_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skirmish.llm.multi_index import nearest_documents
+
+    return nearest_documents(table(spark, sf_dir, "embeddings"))
+
+
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skirmish.llm.mixing import mix_documents
 
@@ -49,11 +55,31 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.col("_sha256").alias("kept_sha256"))
 
 
+def op9_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skirmish.llm.voronoi import top_documents
+
+    return top_documents(table(spark, sf_dir, "embeddings"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skirmish.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_kd_sharding, op3_chosen_path_dedup, op7_pfair_mixing, op8_suffix_dedup, op10_best_fit_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_kd_sharding, op3_chosen_path_dedup, op4_inverted_multi_index, op7_pfair_mixing, op8_suffix_dedup, op9_voronoi_top_k, op10_best_fit_packing)}
+#: Exact search is a join and a ranking; vectors without a null or non-finite component are meant.
+ORACLE_SQL: dict[str, str] = {
+    "op9_voronoi_top_k": """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, e.vec_id, CAST(list_inner_product(q.v, e.v) AS BIGINT) AS score
+  FROM whole q JOIN whole e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM scored)
+SELECT * FROM ranked WHERE "rank" <= 5
+""",
+}
