@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,12 +21,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
     The folder is the session's spark.checkpoint.dir. Only where that is unset, as in tests, one is made.
     """
-    spark = share_code(df.sparkSession)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skirmish-checkpoint-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    sc = share_code(spark).sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skirmish-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def numbered(df: DataFrame, key: str, rank: str = "rank", weight: str | None = None, before: str = "before") -> DataFrame:
     """df with `rank`, gapless from 0 among the rows of each `key`, and with `weight` the running sum `before` each row.
 
@@ -84,7 +89,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def chunks(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of rows of at most `most` bytes together; a longer row is a run of its own."""
     n, i = len(offsets) - 1, 0
     while i < n:
@@ -119,6 +124,38 @@ def frame(cols: dict[str, np.ndarray | pa.Array], schema: T.StructType) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) if not isinstance(cols[f.name], pa.Array) else cols[f.name].cast(f.type) for f in s], schema=s)
 
 
-def pandas_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+def slices(batches: Iterator[pa.RecordBatch], most: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most `most` rows, so that copies of their columns stay small."""
     for b in batches:
-        yield b.to_pandas()
+        for i in range(0, b.num_rows, most):
+            yield b.slice(i, most)
+
+
+SIEVE_BITS = 1 << 23
+
+
+def sifted(rows: DataFrame, wanted: DataFrame, key: str = "k1") -> DataFrame:
+    """rows with a boolean column _may: false only where no row of wanted has the row's key.
+
+    wanted becomes a bitmap of SIEVE_BITS bits, so what is broadcast has one megabyte whatever the input; a bit that several
+    keys share lets more rows through and loses none.
+    """
+    bit = f"pmod({key}, {SIEVE_BITS}) + 1"
+    bits = wanted.groupBy(F.expr(f"bitmap_bucket_number({bit})").alias("_bucket")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({bit}))").alias("_bits"))
+    at = f"bitmap_bit_position({bit})"
+    byte = f"cast(conv(hex(substring(_bits, cast({at} div 8 as int) + 1, 1)), 16, 10) as int)"
+    marked = rows.withColumn("_bucket", F.expr(f"bitmap_bucket_number({bit})")).join(F.broadcast(bits), "_bucket", "left")
+    return marked.withColumn("_may", F.expr(f"coalesce((shiftright({byte}, cast({at} % 8 as int)) & 1) = 1, false)")).drop("_bucket", "_bits")
+
+
+def sieve(rows: DataFrame, wanted: DataFrame, key: str = "k1") -> DataFrame:
+    """rows that may have a key of wanted, so that wide rows need not be shuffled only to be lost in a join on the key."""
+    return sifted(rows, wanted, key).where("_may").drop("_may")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once as a Parquet table beside the checkpoints; for tables that a checkpoint would keep uncompressed."""
+    folder = checkpoint_folder(df.sparkSession)
+    path = f"{folder}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

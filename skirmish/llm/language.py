@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skirmish.llm.common import chunks, frame, utf8
+from skirmish.llm.common import chunks, frame, slices, utf8
 from skirmish.session import share_code
 
 UNKNOWN = "und"
@@ -215,7 +215,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text:
     schema = T.StructType([*(shaped.schema[c] for c in names), *OUT.fields])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw, offsets = utf8(batch.column("_text"))
             lang, score = np.full(len(offsets) - 1, -1), np.zeros(len(offsets) - 1)
             for i, j in chunks(offsets):

@@ -1,16 +1,16 @@
 """Removal of long byte strings that occur more than once.
 
-Every string of LEAST bytes holds an anchor: among its GRAM-byte grams the one with the least hash, the leftmost of equals.
-Equal strings hold equal anchors at equal places, so only the surroundings of equal anchors can hold equal strings. An
-anchor's context, as many bytes on either side as a string with it can reach, is compared with the contexts of its equals:
-
-- contexts that are equal as a whole need no bytes: all strings in them repeat;
-- of the other anchors with several contexts, one of each goes, group by group, through a Burrows-Wheeler transform whose
-  breadth-first interval expansion tells the common prefixes (`bwt.repeated_starts`);
-- a group of more than LARGE contexts is first split by what its strings must contain: those with an anchor at offset 0 to
-  m, and those with it beyond m, contain more of the context on one side. Halves are grouped by that, groups of one are
-  dropped, groups that agree in all they could hold repeat as a whole, and the rest go on until they are small. At a single
-  offset a group agrees in the whole string, so this ends.
+Every string of LEAST bytes has an anchor: among its GRAM-byte grams the one with the least hash, the leftmost of equals.
+Equal strings have equal anchors at equal offsets, so only strings with equal anchors need to be compared. The strings that
+neighbour each other and have one anchor form a range; a range is divided into sections by the anchor's offset, and what all
+strings of a section must contain, with its hash, is the section's key. Sections with a key of their own cannot repeat.
+
+- A first pass counts anchor hashes; a bitmap of those that occur again sifts the sections of the second pass.
+- Sections that agree with another of their key in all their bytes need no closer look: all strings in them repeat.
+- Of the other keys with several kinds of sections, one of each kind goes, group by group, through a Burrows-Wheeler
+  transform whose breadth-first interval expansion tells the common prefixes (`bwt.repeated_starts`).
+- A group of more than LARGE kinds is first split by offsets, with new keys, until it is small: keys of one drop out, groups
+  that agree in all bytes are settled, and at a single offset all agree.
 
 Nothing is collected, sampled or capped; texts are read whole.
 """
@@ -27,19 +27,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skirmish.llm.bwt import repeated_starts
-from skirmish.llm.common import checkpoint, chunks, frame, hash_key, mix64, utf8
+from skirmish.llm.common import checkpoint, chunks, frame, hash_key, mix64, sieve, sifted, stored, utf8
 from skirmish.llm.shingles import prefix_hash, span_hash
 from skirmish.session import share_code
 
 LEAST, GRAM = 400, 128
-LARGE = 512  # contexts of a group that one transform takes
+SECTIONS = 4  # of the offsets that an anchor can have in a string
+LARGE = 512  # kinds of sections of a group that one transform takes
 SEGMENT = 4 << 20  # bytes of a long text that are read at once
 
 _L, _I = T.LongType(), T.IntegerType()
-ANCHORS = T.StructType([T.StructField("a", _L), T.StructField("c", _L), T.StructField("k1", _L), T.StructField("k2", _L), T.StructField("pos", _L), T.StructField("left", _I), T.StructField("right", _I)])
-CONTEXTS = T.StructType([T.StructField("key", _L), T.StructField("a", _L), T.StructField("c", _L), T.StructField("owner", _L), T.StructField("left", _I), T.StructField("bytes", T.BinaryType())])
-NODES = T.StructType([*CONTEXTS.fields, T.StructField("lo", _I), T.StructField("hi", _I), T.StructField("all", _L)])
-MARKS = T.StructType([T.StructField("a", _L), T.StructField("c", _L), T.StructField("lo", _I), T.StructField("hi", _I)])
+#: A section: its key, a hash of all it is, its text, the place of the anchor, the offsets lo to hi that its number stands
+#: for, and the least and greatest offset of the anchor in its own strings.
+PARTS = T.StructType([T.StructField("key", _L), T.StructField("all", _L), T.StructField("a", _L), T.StructField("k1", _L), T.StructField("k2", _L), T.StructField("pos", _L), T.StructField("lo", _I), T.StructField("hi", _I), T.StructField("first", _I), T.StructField("last", _I)])
+#: A kind of section with its bytes; left: bytes before the anchor; id and kind: key and hash of the section it came from.
+KINDS = T.StructType([T.StructField("key", _L), T.StructField("all", _L), T.StructField("id", _L), T.StructField("kind", _L), T.StructField("owner", _L), T.StructField("left", _I), T.StructField("lo", _I), T.StructField("hi", _I), T.StructField("bytes", T.BinaryType())])
+MARKS = T.StructType([T.StructField("id", _L), T.StructField("kind", _L), T.StructField("from", _I), T.StructField("to", _I)])
 
 
 def _least_of(v: np.ndarray, width: int) -> np.ndarray:
@@ -54,94 +57,115 @@ def _least_of(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(row, a, c, pos, left, right) of every anchor: gram hash, context hash, place in the row, bytes around the gram."""
-    n, width, reach = len(raw), least - gram + 1, least - gram
-    none = tuple(np.zeros(0, np.int64) for _ in range(6))
+    """(place, hash, first, last) of every anchor: where its gram starts, and the starts of the strings it is the anchor of."""
     starts = np.flatnonzero(np.diff(offsets) >= least)
     if not len(starts):
-        return none
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     p = prefix_hash(raw)
-    g = mix64(span_hash(p, slice(None, -gram), slice(gram, None), slice(None, n - gram + 1)), 61)
-    v = (g >> np.uint64(28) << np.uint64(28)) | np.arange(len(g), dtype=np.uint64)
-    m = _least_of(v, width)
-    may = np.zeros(len(m) + 1, np.int32)  # where a string of `least` bytes starts within one row
+    g = mix64(span_hash(p, slice(None, -gram), slice(gram, None), slice(None, len(raw) - gram + 1)), 61)
+    m = _least_of((g >> np.uint64(28) << np.uint64(28)) | np.arange(len(g), dtype=np.uint64), least - gram + 1)
+    may = np.zeros(len(m) + 1, np.int32)  # where a string starts that lies within one row
     np.add.at(may, offsets[starts], 1)
     np.add.at(may, offsets[starts + 1] - least + 1, -1)
-    m = m[np.cumsum(may[:-1]) > 0]
-    at = (m[np.concatenate([[True], m[1:] != m[:-1]])] & np.uint64((1 << 28) - 1)).astype(np.int64)
-    row = np.searchsorted(offsets, at, side="right") - 1
-    lo, hi = np.maximum(offsets[row], at - reach), np.minimum(offsets[row + 1], at + gram + reach)
-    left, right = at - lo, hi - at - gram
-    c = mix64(span_hash(p, lo, hi, lo) ^ mix64((left * 4096 + right).astype(np.uint64), 63), 62)
-    return row, g[at], c, at - offsets[row], left, right
+    at = np.flatnonzero(np.cumsum(may[:-1]) > 0)
+    m = m[at]
+    edge = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+    place = (m[edge] & np.uint64((1 << 28) - 1)).astype(np.int64)
+    return place, g[place], at[edge], at[np.append(edge[1:], len(at)) - 1]
 
 
-def _anchor_rows(texts: DataFrame, least: int, gram: int) -> DataFrame:
+def _read(batch: pa.RecordBatch, least: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(row, bytes before it, bytes, offsets) of runs of whole rows, and of the segments of a long one.
+
+    A segment shares all but one byte of a string with the next one, so each string lies in one segment.
+    """
+    raw, offsets = utf8(batch.column("text"))
+    for i, j in chunks(offsets):
+        if j - i > 1 or offsets[j] - offsets[i] <= SEGMENT:
+            yield i, 0, raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        else:
+            for s in range(0, int(offsets[j] - offsets[i]) - least + 1, SEGMENT):
+                part = raw[offsets[i] + s : min(offsets[j], offsets[i] + s + SEGMENT + least - 1)]
+                yield i, s, part, np.array([0, len(part)])
+
+
+def _anchor_hashes(texts: DataFrame, least: int, gram: int) -> DataFrame:
+    """The hash of each anchor, once for each of its ranges."""
+    schema = T.StructType([T.StructField("a", _L)])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, raw, at in _read(batch, least):
+                yield frame({"a": anchors(raw, at, least, gram)[1].view(np.int64)}, schema)
+
+    return texts.select("text").mapInArrow(read, schema)
+
+
+def _section_rows(texts: DataFrame, least: int, gram: int, sections: int) -> DataFrame:
+    edges = [round(x * (least - gram + 1) / sections) for x in range(sections + 1)]
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = utf8(batch.column("text"))
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-            for i, j in chunks(offsets):
-                size = offsets[j] - offsets[i]
-                last = -1
-                for s in range(0, max(1, size), SEGMENT):
-                    lo, hi = offsets[i] + max(0, s - least), min(offsets[j], offsets[i] + s + SEGMENT + 2 * least)
-                    at = np.clip(offsets[i : j + 1], lo, hi) - lo
-                    row, a, c, pos, left, right = anchors(raw[lo:hi], at, least, gram)
-                    if size > SEGMENT:  # one long row: keep what this segment's own strings hold, once
-                        pos = pos + (lo - offsets[i])
-                        here = (pos > last) & (pos < s + SEGMENT + (0 if hi < offsets[j] else 2 * least))
-                        row, a, c, pos, left, right = (x[here] for x in (row, a, c, pos, left, right))
-                        last = max(last, int(pos[-1])) if len(pos) else last
-                    yield frame({"a": a.astype(np.uint64).view(np.int64), "c": c.astype(np.uint64).view(np.int64), "k1": k1[i + row], "k2": k2[i + row], "pos": pos, "left": left.astype(np.int32), "right": right.astype(np.int32)}, ANCHORS)
-
-    return texts.mapInArrow(read, ANCHORS)
-
-
-def _cut_contexts(asked: DataFrame, least: int, gram: int) -> DataFrame:
-    """The bytes of the contexts that `want`, a list of (a, c, pos, left, right), asks of each text."""
+            for i, before, raw, at in _read(batch, least):
+                place, a, start, end = anchors(raw, at, least, gram)
+                if not len(place):
+                    continue
+                p = prefix_hash(raw)
+                row = np.searchsorted(at, place, side="right") - 1
+                for lo, hi in zip(edges[:-1], [e - 1 for e in edges[1:]], strict=True):
+                    first, last = np.maximum(lo, place - end), np.minimum(hi, place - start)
+                    ok = first <= last
+                    x, f, g = place[ok], first[ok], last[ok]
+                    key = mix64(span_hash(p, x - lo, x + least - hi, x - lo) ^ mix64(a[ok], 64), 65 + lo)
+                    every = mix64(span_hash(p, x - g, x + least - f, x - g) ^ mix64((f * 65536 + g).astype(np.uint64), 63), 62)
+                    n = len(x)
+                    rows = {"key": key.view(np.int64), "all": every.view(np.int64), "a": a[ok].view(np.int64), "k1": k1[i + row[ok]], "k2": k2[i + row[ok]], "pos": before + x - at[row[ok]], "lo": np.full(n, lo, np.int32), "hi": np.full(n, hi, np.int32), "first": f.astype(np.int32), "last": g.astype(np.int32)}
+                    yield frame(rows, PARTS)
+
+    return texts.select("k1", "k2", "text").mapInArrow(read, PARTS)
+
+
+def _cut(asked: DataFrame, least: int) -> DataFrame:
+    """The bytes of the sections that `want` asks of each text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                text = (batch.column("text")[r].as_py() or "").encode()
-                want = batch.column("want")[r].as_py()
-                owner = int(mix64(np.array([batch.column("k1")[r].as_py()], dtype=np.int64).view(np.uint64), 71)[0])
-                rows = {
-                    "key": np.array([w["a"] for w in want], dtype=np.int64), "a": np.array([w["a"] for w in want], dtype=np.int64), "c": np.array([w["c"] for w in want], dtype=np.int64),
-                    "owner": np.array([(owner + w["pos"] - w["left"]) % (1 << 64) for w in want], dtype=np.uint64).view(np.int64),
-                    "left": np.array([w["left"] for w in want], dtype=np.int32),
-                    "bytes": pa.array([text[w["pos"] - w["left"] : w["pos"] + gram + w["right"]] for w in want], pa.binary()),
-                }
-                yield frame(rows, CONTEXTS)
+            out: dict[str, list] = {f.name: [] for f in KINDS}
+            owners = mix64(batch.column("k1").to_numpy().view(np.uint64), 71)
+            for text, want, owner in zip(batch.column("text"), batch.column("want").to_pylist(), owners.tolist(), strict=True):
+                text = text.as_py().encode()
+                for w in want:
+                    begin = w["pos"] - w["last"]
+                    for name, v in zip(out, (w["key"], w["all"], w["key"], w["all"], (owner + begin) % (1 << 64), w["last"], w["lo"], w["hi"], text[begin : w["pos"] + least - w["first"]]), strict=True):
+                        out[name].append(v)
+            out["owner"] = np.array(out["owner"], dtype=np.uint64).view(np.int64)
+            out["bytes"] = pa.array(out["bytes"], pa.binary())
+            yield frame(out, KINDS)
 
-    return asked.mapInArrow(read, CONTEXTS)
+    return asked.mapInArrow(read, KINDS)
 
 
 def _halves(nodes: DataFrame, least: int, gram: int) -> DataFrame:
-    """Each context in the halves of its node's offsets that it can have, keyed by what a string there must contain."""
+    """Each section in the halves of its offsets, with the keys of those."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = least - gram
         for batch in batches:
-            out: dict[str, list] = {f.name: [] for f in NODES}
+            out: dict[str, list] = {f.name: [] for f in KINDS}
             for r in batch.to_pylist():
-                size, mid = len(r["bytes"]), (r["lo"] + r["hi"]) // 2
+                data, left, mid = r["bytes"], r["left"], (r["lo"] + r["hi"]) // 2
                 for lo, hi in ((r["lo"], mid), (mid + 1, r["hi"])):
-                    right = size - r["left"] - gram
-                    first, last = max(lo, reach - right), min(hi, r["left"])  # offsets of the anchor in a string
+                    first, last = max(lo, left + least - len(data)), min(hi, left)
                     if lo > hi or first > last:
                         continue
-                    must = r["bytes"][r["left"] - lo : r["left"] + gram + reach - hi]
-                    whole = r["bytes"][r["left"] - last : r["left"] + gram + reach - first]
-                    cut = r["left"] - last
-                    for name, v in zip(out, (_digest(r["key"], lo, hi, must), r["a"], r["c"], r["owner"] + cut, last, whole, lo, hi, _digest(last, first, whole)), strict=True):
+                    must, whole = data[left - lo : left + least - hi], data[left - last : left + least - first]
+                    for name, v in zip(out, (_digest(r["key"], lo, hi, must), _digest(last, first, whole), r["id"], r["kind"], (r["owner"] + left - last) % (1 << 64), last, lo, hi, whole), strict=True):
                         out[name].append(v)
-            out["owner"] = np.array([x % (1 << 64) for x in out["owner"]], dtype=np.uint64).view(np.int64)
+            out["owner"] = np.array(out["owner"], dtype=np.uint64).view(np.int64)
             out["bytes"] = pa.array(out["bytes"], pa.binary())
-            yield frame(out, NODES)
+            yield frame(out, KINDS)
 
-    return nodes.select(*NODES.names).mapInArrow(split, NODES)
+    return nodes.select(*KINDS.names).mapInArrow(split, KINDS)
 
 
 def _digest(*parts: int | bytes) -> int:
@@ -151,8 +175,8 @@ def _digest(*parts: int | bytes) -> int:
     return int.from_bytes(h.digest(), "little", signed=True)
 
 
-def _compare(contexts: DataFrame, least: int) -> DataFrame:
-    """Marks of the strings that repeat among contexts with equal keys; a place counts once."""
+def _compare(kinds: DataFrame, least: int) -> DataFrame:
+    """Marks of the strings that repeat among sections with equal keys; a place of the corpus counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -161,16 +185,16 @@ def _compare(contexts: DataFrame, least: int) -> DataFrame:
         def marks() -> pa.RecordBatch:
             out: dict[str, list] = {f.name: [] for f in MARKS}
             starts = repeated_starts([h[4] for h in held], np.array([h[2] for h in held], dtype=np.int64).view(np.uint64), least)
-            for (a, c, _, left, _), x in zip(held, starts, strict=True):
+            for (key, kind, _, left, _), x in zip(held, starts, strict=True):
                 if len(x):
                     edge = np.flatnonzero(np.diff(x) > 1)
                     for i, j in zip(x[np.append(0, edge + 1)], x[np.append(edge, len(x) - 1)], strict=True):
-                        for name, v in zip(out, (a, c, i - left, j + least - left), strict=True):
+                        for name, v in zip(out, (key, kind, i - left, j + least - left), strict=True):
                             out[name].append(v)
             return frame(out, MARKS)
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("key", "a", "c", "owner", "left", "bytes")]
+            cols = [batch.column(c).to_pylist() for c in ("key", "id", "kind", "owner", "left", "bytes")]
             for key, *rest in zip(*cols, strict=True):
                 if key != last and len(held) >= LARGE:
                     yield marks()
@@ -180,43 +204,41 @@ def _compare(contexts: DataFrame, least: int) -> DataFrame:
         if held:
             yield marks()
 
-    return contexts.select("key", "a", "c", "owner", "left", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(run, MARKS)
+    return kinds.select("key", "id", "kind", "owner", "left", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(run, MARKS)
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, sections: int = SECTIONS) -> DataFrame:
     """(k1, k2, spans) for each text with bytes to remove; k1, k2: its hashes (null as empty), spans: (lo, hi) in bytes."""
     share_code(docs.sparkSession)
     k1, k2 = hash_key(F.coalesce("text", F.lit("")))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"), k1, k2, "text")
-    found = _anchor_rows(keyed.where(F.octet_length("text") >= least).select("k1", "k2", "text"), least, gram)
-    found = checkpoint(found)
-    several = found.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
-    shared = checkpoint(found.join(several, "a"))
-    contexts = shared.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "pos", "left", "right")).alias("at"))
-    contexts = checkpoint(contexts)
-    # contexts that some other context of the anchor may share a string with, unless all are already known to repeat
-    open_ = contexts.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.sum((F.col("n") == 1).cast("long")).alias("once")).where("m > 1 AND once > 0").select("a", "m")
-    members = contexts.join(open_, "a").select("a", "c", "m", "at.*")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"), k1, k2, "text").where(F.octet_length("text") >= least)
+    again = checkpoint(_anchor_hashes(keyed, least, gram).groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"))
+    parts = stored(sieve(_section_rows(keyed, least, gram, sections), again, "a").drop("a"))
+    kinds = parts.groupBy("key", "all").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "pos", "lo", "hi", "first", "last")).alias("at"))
+    groups = kinds.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"), F.sum((F.col("n") == 1).cast("long")).alias("once")).where("n > 1")
+    kinds = checkpoint(kinds.withColumnRenamed("n", "same").join(groups, "key"))
+    marks = [kinds.where("same > 1").select(F.col("key").alias("id"), F.col("all").alias("kind"), (-F.col("at.last")).alias("from"), (F.lit(least) - F.col("at.first")).alias("to"))]
+    # keys whose sections are of several kinds, unless all of them are already known to repeat
+    asked = kinds.where("m > 1 AND once > 0").select("key", "all", "at.*")
     one = keyed.select("k1", "k2", "_doc").groupBy("k1", "k2").agg(F.min("_doc").alias("_doc"))
-    want = members.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "c", "pos", "left", "right")).alias("want")).join(one, ["k1", "k2"])
-    texts = keyed.where(F.octet_length("text") >= least).join(want, ["k1", "k2", "_doc"]).select("k1", "text", "want")
-    cut = checkpoint(_cut_contexts(texts, least, gram).dropDuplicates(["a", "c"]))
-    sized = cut.join(open_, "a")
-    marks = [contexts.where("n > 1").select("a", "c", (-F.col("at.left")).alias("lo"), (F.col("at.right") + gram).alias("hi"))]
+    want = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "all", "pos", "lo", "hi", "first", "last")).alias("want"))
+    want = checkpoint(want.join(one, ["k1", "k2"]))
+    texts = sieve(keyed, want).join(want, ["k1", "k2", "_doc"]).select("k1", "text", "want")
+    cut = checkpoint(_cut(texts, least).dropDuplicates(["key", "all"]))
+    sized = cut.join(groups.select("key", "m"), "key")
     marks.append(_compare(sized.where(F.col("m") <= LARGE), least))
-    nodes = sized.where(F.col("m") > LARGE).withColumns({"lo": F.lit(0), "hi": F.lit(least - gram), "all": F.lit(0).cast("long")})
+    nodes = sized.where(F.col("m") > LARGE)
     while not nodes.isEmpty():
         nodes = checkpoint(_halves(nodes, least, gram))
-        kinds = nodes.groupBy("key", "all").agg(F.count(F.lit(1)).alias("same")).groupBy("key").agg(F.sum("same").alias("n"), F.count(F.lit(1)).alias("kinds")).where("n > 1")
-        sized = nodes.join(kinds, "key")
-        agreed = sized.where("kinds = 1")
-        marks.append(agreed.select("a", "c", (-F.col("left")).alias("lo"), (F.octet_length("bytes") - F.col("left")).alias("hi")))
+        sorts = nodes.groupBy("key", "all").agg(F.count(F.lit(1)).alias("same")).groupBy("key").agg(F.sum("same").alias("n"), F.count(F.lit(1)).alias("kinds")).where("n > 1")
+        sized = nodes.join(sorts, "key")
+        marks.append(sized.where("kinds = 1").select("id", "kind", (-F.col("left")).alias("from"), (F.octet_length("bytes") - F.col("left")).alias("to")))
         marks.append(_compare(sized.where((F.col("kinds") > 1) & (F.col("n") <= LARGE)), least))
         nodes = sized.where((F.col("kinds") > 1) & (F.col("n") > LARGE))
     every = marks[0]
     for m in marks[1:]:
         every = every.union(m)
-    places = shared.join(every, ["a", "c"]).select("k1", "k2", (F.col("pos") + F.col("lo")).alias("lo"), (F.col("pos") + F.col("hi")).alias("hi"))
+    places = parts.join(every, (parts["key"] == every["id"]) & (parts["all"] == every["kind"])).select("k1", "k2", (F.col("pos") + F.col("from")).alias("lo"), (F.col("pos") + F.col("to")).alias("hi"))
     return places.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -249,9 +271,11 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Dat
     """
     added = [T.StructField("_bytes", _L), T.StructField("_removed", _L), T.StructField("_spans", T.ArrayType(T.StructType([T.StructField("lo", _L), T.StructField("hi", _L)]))), T.StructField("_sha256", T.StringType())]
     names = [c for c in docs.columns if c not in {f.name for f in added}]
-    spans = repeated_spans(docs, least, gram)
+    spans = checkpoint(repeated_spans(docs, least, gram).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "spans"))
     k1, k2 = hash_key(F.coalesce("text", F.lit("")))
-    joined = docs.select(*names, k1.alias("_k1"), k2.alias("_k2")).join(spans.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "spans"), ["_k1", "_k2"], "left").select(*names, "spans")
+    marked = sifted(docs.select(*names, k1.alias("_k1"), k2.alias("_k2")), spans, "_k1")
+    whole = marked.where("NOT _may").select(*names, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))  # not shuffled
+    joined = marked.where("_may").join(spans, ["_k1", "_k2"], "left").select(*names, "spans").union(whole)
     schema = T.StructType([*(T.StructField("text", T.StringType()) if c == "text" else docs.schema[c] for c in names), *added])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

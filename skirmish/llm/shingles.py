@@ -20,7 +20,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd number and of its inverse, modulo 2 to the 64."""
     if not _POWERS or len(_POWERS["up"]) < n:
-        n = max(n, 1 << 21)
+        n = max(n, 1 << 19)
         with np.errstate(over="ignore"):
             for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
                 p = np.full(n, base, dtype=np.uint64)
