@@ -131,6 +131,13 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 1024) -> Iterator[pa.R
             yield b.slice(i, most)
 
 
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """docs with its columns that an operator doesn't use under names that clash with nothing, and the columns to select in
+    the end to have the names of docs again."""
+    names = {c: c if c in used else f"extra {i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), [F.col(f"`{n}`").alias(c) for c, n in names.items()]
+
+
 SIEVE_BITS = 1 << 23
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skirmish.llm.common import frame, hash_key, numbered
+from skirmish.llm.common import frame, hash_key, numbered, set_aside
 
 BLOCK_BYTES = 1 << 18
 NONE = ""  # the source of documents without one
@@ -123,11 +123,11 @@ def mixed(docs: DataFrame, shares: dict[str, int] | None = None, block_bytes: in
 
     Rows that are equal in all columns share a place. Only (source, size, hash) rows are numbered; texts are moved twice.
     """
-    names = docs.columns
-    keyed = docs.select("*", *(c.alias(f"_{c_name}") for c, c_name in zip(hash_key(*names), ("k1", "k2"), strict=True)))
+    docs, back = set_aside(docs, "text", "source")
+    keyed = docs.select("*", *(c.alias(f"_{n}") for c, n in zip(hash_key(*(f"`{c}`" for c in docs.columns)), ("k1", "k2"), strict=True)))
     rows = keyed.select("_k1", "_k2", "source", (F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1).alias("size"))
     slots = scheduled(rows, shares, block_bytes).groupBy("_k1", "_k2").agg(F.min(F.struct("slot", "place")).alias("_at"))
     top = slots.agg(F.max("_at.slot").alias("s"), F.count(F.lit(1)).alias("n")).first()
     parts = max(1, -(-(top["n"] or 0) // rows_per_part))
     part = F.call_function("div", F.col("_at.slot") * parts, F.lit((top["s"] or 0) + 1)).cast("int")
-    return keyed.join(slots, ["_k1", "_k2"]).repartitionById(parts, part).sortWithinPartitions("_at.slot", "_at.place").select(*names)
+    return keyed.join(slots, ["_k1", "_k2"]).repartitionById(parts, part).sortWithinPartitions("_at.slot", "_at.place").select(*back)

@@ -42,6 +42,19 @@ def op4_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_documents(table(spark, sf_dir, "embeddings"))
 
 
+def op5_dom_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skirmish.llm.pages import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skirmish.llm.toxicity import fit, judge
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skirmish.llm.mixing import mix_documents
 
@@ -67,7 +80,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_kd_sharding, op3_chosen_path_dedup, op4_inverted_multi_index, op7_pfair_mixing, op8_suffix_dedup, op9_voronoi_top_k, op10_best_fit_packing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op2_kd_sharding, op3_chosen_path_dedup, op4_inverted_multi_index, op5_dom_tree_extraction, op6_toxicity_chain, op7_pfair_mixing, op8_suffix_dedup, op9_voronoi_top_k, op10_best_fit_packing)}
 #: Exact search is a join and a ranking; vectors without a null or non-finite component are meant.
 ORACLE_SQL: dict[str, str] = {
     "op9_voronoi_top_k": """

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skirmish.llm.bwt import repeated_starts
-from skirmish.llm.common import checkpoint, chunks, frame, hash_key, mix64, sieve, sifted, stored, utf8
+from skirmish.llm.common import checkpoint, chunks, frame, hash_key, mix64, set_aside, sieve, sifted, stored, utf8
 from skirmish.llm.shingles import prefix_hash, span_hash
 from skirmish.session import share_code
 
@@ -270,7 +270,8 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Dat
     Repeated rows are documents of their own, so their texts repeat. Columns of docs with these names are replaced.
     """
     added = [T.StructField("_bytes", _L), T.StructField("_removed", _L), T.StructField("_spans", T.ArrayType(T.StructType([T.StructField("lo", _L), T.StructField("hi", _L)]))), T.StructField("_sha256", T.StringType())]
-    names = [c for c in docs.columns if c not in {f.name for f in added}]
+    docs, back = set_aside(docs.drop(*(f.name for f in added)), "doc_id", "text")
+    names = docs.columns
     spans = checkpoint(repeated_spans(docs, least, gram).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "spans"))
     k1, k2 = hash_key(F.coalesce("text", F.lit("")))
     marked = sifted(docs.select(*names, k1.alias("_k1"), k2.alias("_k2")), spans, "_k1")
@@ -291,4 +292,4 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Dat
             values = {c: batch.column(c) for c in names} | {"text": texts} | out
             yield frame(values, schema)
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(cut, schema).select(*back, *(f.name for f in added))
