@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +62,7 @@ def numbered(df: DataFrame, key: str, rank: str = "rank", weight: str | None = N
                 seen[x] = seen.get(x, 0) + int(n)
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], names=[*batch.schema.names, *(f.name for f in added)])
 
-    local = base.mapInArrow(number, T.StructType([*base.schema.fields, *added]))
+    local = base.mapInArrow(lean(number), T.StructType([*base.schema.fields, *added]))
     sums = [F.count(F.lit(1)).alias("_n")] + ([F.sum(weight).alias("_w")] if weight else [])
     counts = base.groupBy(F.spark_partition_id().alias("_part"), F.col(key)).agg(*sums)
     earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -124,6 +126,24 @@ def frame(cols: dict[str, np.ndarray | pa.Array], schema: T.StructType) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) if not isinstance(cols[f.name], pa.Array) else cols[f.name].cast(f.type) for f in s], schema=s)
 
 
+def lean(read: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The reader, which hands memory that it no longer needs back when its task ends: Python workers outlive their tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from read(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], most: int = 1024) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most `most` rows, so that copies of their columns stay small."""
     for b in batches:

@@ -3,8 +3,8 @@
 A text's features are the hashes of its byte n-grams (1 to 4 bytes, lower-cased, everything but letters as one space mark).
 Each hash has an embedding; their average goes through a linear softmax. Embeddings and softmax are trained together by
 stochastic gradient descent in numpy, on random passages of a bounded sample of labelled documents. A part of the sample is
-left out of the descent and calibrates the result: a temperature for the probabilities, and the probability under which a
-prediction is rejected. N-grams that training never met have a zero embedding, so foreign text has a low probability.
+left out of the descent and calibrates the result: a temperature for the probabilities, the probability under which a
+prediction is rejected, and the share of known n-grams under which a text is foreign to all languages.
 
 Prediction reads whole texts. As softmax follows a linear map of an average, the map is applied to the embeddings first.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skirmish.llm.common import chunks, frame, slices, utf8
+from skirmish.llm.common import chunks, frame, lean, slices, utf8
 from skirmish.session import share_code
 
 UNKNOWN = "und"
@@ -28,8 +28,13 @@ BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
 #: The most labelled documents of a language in the training sample.
 SAMPLE_PER_LANGUAGE = 2_000
-#: The share of correct calibration documents that rejection may cost, and the probability that is never rejected.
-REJECTED_SHARE, NEVER_REJECTED = 0.001, 0.5
+#: The share of correct calibration documents that rejection may cost; the probability that is never rejected, and the
+#: multiple of chance beyond which none is: texts in two languages at once are unsure, but not foreign.
+REJECTED_SHARE, NEVER_REJECTED, CHANCE = 0.001, 0.5, 1.45
+#: Texts with fewer known n-grams than this part of what calibration texts have are rejected as foreign.
+FAMILIAR = 0.9
+#: Descent steps that a small sample gets by more epochs.
+LEAST_STEPS = 200
 OUT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -76,19 +81,26 @@ def has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    table: np.ndarray  # (BUCKETS + 1, languages + 1) float32: logits of each bucket, and 1 for a known n-gram
+    table: np.ndarray  # (BUCKETS + 1, languages + 1) float32: logits of each bucket, and 1 for one that training met
     bias: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    familiar: float = 0.0
 
-    def logits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(offsets) - 1, self.table.shape[1]))
+    def logits(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The languages' logits, and the share of n-grams that training met, of each row."""
+        total, n = np.zeros((len(offsets) - 1, self.table.shape[1])), np.zeros(len(offsets) - 1)
         starts, ends = offsets[:-1], offsets[1:]
         some = ends > starts
         if some.any():
             for b in buckets(raw, ends[some]):
                 total[some] += np.add.reduceat(self.table[b], starts[some], axis=0)
-        return total[:, :-1] / np.maximum(total[:, -1:], 1) + self.bias
+                n[some] += np.add.reduceat((b < BUCKETS).astype(np.int32), starts[some])
+        n = np.maximum(n, 1)
+        return total[:, :-1] / n[:, None] + self.bias, total[:, -1] / n
+
+    def rejects(self, score: np.ndarray, met: np.ndarray) -> np.ndarray:
+        return (score < self.threshold) | (met < self.familiar)
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -113,6 +125,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7, dims: int = 16, pa
             spans.append(b[at : at + n])
             y.append(y_of[labels[i]])
     y = np.array(y, dtype=np.int64)
+    epochs = max(epochs, -(-LEAST_STEPS // max(1, -(-len(spans) // 128))))
     emb = np.zeros((BUCKETS + 1, dims))
     known = np.zeros(BUCKETS + 1, np.float32)
     weights, bias = rng.normal(0, 1, (dims, len(languages))), np.zeros(len(languages))
@@ -149,8 +162,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7, dims: int = 16, pa
             done += 1
     emb[BUCKETS] = 0
     known[BUCKETS] = 0
-    model = Model(languages, np.concatenate([emb @ weights, np.zeros((BUCKETS + 1, 1))], axis=1).astype(np.float32), bias)
-    model.table[:BUCKETS, -1] = 1
+    model = Model(languages, np.concatenate([emb @ weights, known[:, None]], axis=1).astype(np.float32), bias)
     _calibrate(model, [texts[i] for i in np.flatnonzero(held)], np.array([y_of[labels[i]] for i in np.flatnonzero(held)], dtype=np.int64))
     return model
 
@@ -168,7 +180,8 @@ def _calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
     raws += [x[i : i + int(rng.integers(8, 60))] for x, i in zip(raws, starts, strict=True)]
     y = np.concatenate([y, y])
     raw, at = np.frombuffer(b"".join(raws), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raws])])
-    z = np.concatenate([model.logits(raw[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in chunks(at)])
+    parts = [model.logits(raw[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in chunks(at)]
+    z, met = (np.concatenate(x) for x in zip(*parts, strict=True))
     best = (np.inf, 1.0)
     for t in np.geomspace(0.02, 20, 60):
         model.temperature = float(t)
@@ -176,9 +189,10 @@ def _calibrate(model: Model, texts: list[str], y: np.ndarray) -> None:
         best = min(best, (nll, float(t)))
     model.temperature = best[1]
     p = model.probabilities(z)
+    model.familiar = FAMILIAR * float(np.sort(met)[int(REJECTED_SHARE * len(met))])
     right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y])
     if len(right):
-        model.threshold = float(min(NEVER_REJECTED, right[int(REJECTED_SHARE * len(right))]))
+        model.threshold = float(min(NEVER_REJECTED, CHANCE / len(model.languages), right[int(REJECTED_SHARE * len(right))]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -217,18 +231,19 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, text:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             raw, offsets = utf8(batch.column("_text"))
-            lang, score = np.full(len(offsets) - 1, -1), np.zeros(len(offsets) - 1)
+            lang, score, met = np.full(len(offsets) - 1, -1), np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1)
             for i, j in chunks(offsets):
                 part, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 if model.languages:
-                    p = model.probabilities(model.logits(part, at))
+                    z, met[i:j] = model.logits(part, at)
+                    p = model.probabilities(z)
                     lang[i:j] = np.where(has_letter(part, at), p.argmax(axis=1), -1)
                     score[i:j] = np.where(lang[i:j] >= 0, p.max(axis=1), 0)
             named = np.array([*model.languages, UNKNOWN], dtype=object)[lang]
             values = {c: batch.column(c) for c in names}
-            yield frame({**values, "lang_pred": pa.array(named, pa.string()), "score": score, "rejected": (lang < 0) | (score < model.threshold)}, schema)
+            yield frame({**values, "lang_pred": pa.array(named, pa.string()), "score": score, "rejected": (lang < 0) | model.rejects(score, met)}, schema)
 
-    return shaped.mapInArrow(predict, schema)
+    return shaped.mapInArrow(lean(predict), schema)
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:

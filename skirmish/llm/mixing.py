@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skirmish.llm.common import frame, hash_key, numbered, set_aside
+from skirmish.llm.common import frame, hash_key, lean, numbered, set_aside
 
 BLOCK_BYTES = 1 << 18
 NONE = ""  # the source of documents without one
@@ -109,7 +109,7 @@ def scheduled(rows: DataFrame, shares: dict[str, int] | None = None, block_bytes
             values = {f.name: batch.column(f.name) for f in kept}
             yield frame({**values, "block": block, "release": out[1], "deadline": out[2], "slot": out[0], "place": batch.column("_rank")}, schema)
 
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(lean(place), schema)
 
 
 def mix_documents(docs: DataFrame, shares: dict[str, int] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:

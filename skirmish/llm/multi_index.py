@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skirmish.llm.common import checkpoint, frame
+from skirmish.llm.common import checkpoint, frame, lean
 from skirmish.llm.vectors import batches_of, matrix, sampled, search, usable
 from skirmish.session import share_code
 
@@ -88,7 +88,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, centroids: int = C
             u, v = ((y @ c.T - 0.5 * (c * c).sum(axis=1)).argmax(axis=1).astype(np.int32) for y, c in ((x[:, :half], books[0]), (x[:, half:], books[1])))
             yield frame({"grp": u, "cell": v, "vec_id": b.column("vec_id"), "v": b.column("v")}, shaped)
 
-    index = checkpoint(vectors.where(F.size("v") == dims).mapInArrow(assign, shaped))
+    index = checkpoint(vectors.where(F.size("v") == dims).mapInArrow(lean(assign), shaped))
     held = np.zeros((len(books[0]), len(books[1])), np.int64)
     for r in index.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n")).collect():
         held[r["grp"], r["cell"]] = r["n"]
@@ -113,7 +113,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, centroids: int = C
     def visited(q: pd.DataFrame, e: pd.DataFrame) -> np.ndarray:
         return (q["cells"].to_numpy()[:, None] >> e["cell"].to_numpy()[None, :]) & 1 == 1
 
-    asked = usable(queries, zeros=False).where(F.size("v") == dims).mapInArrow(route, routed)
+    asked = usable(queries, zeros=False).where(F.size("v") == dims).mapInArrow(lean(route), routed)
     return search(index, asked, k, inner, visited, inner_in_order)
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skirmish.llm.common import frame, numbered
+from skirmish.llm.common import frame, lean, numbered
 
 CAPACITY = 1024
 END = 2
@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity:
                         out[k].append(v)
             yield frame({**out, "class": out["length"]}, PIECES)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(cut), PIECES)
 
 
 def lower_bound(histogram: dict[int, int], capacity: int) -> int:
@@ -270,7 +270,7 @@ def place(items: DataFrame, capacity: int = CAPACITY, partitions: int = PARTITIO
             values = {k.name: batch.column(k.name) for k in kept}
             yield frame({**values, "sequence_id": first[at] + inside // each[at], "offset": offset[at] + inside % each[at] * length}, schema)
 
-    return ranked.mapInArrow(look_up, schema)
+    return ranked.mapInArrow(lean(look_up), schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: int = CAPACITY, partitions: int = PARTITIONS) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skirmish.llm.common import frame
+from skirmish.llm.common import frame, lean
 from skirmish.session import share_code
 
 # Element kinds of HTML.
@@ -29,6 +29,7 @@ VOID = set("area base basefont br col embed frame hr img input link meta param s
 RAW = set("script style textarea title xmp".split())
 DROPPED = set("audio button canvas datalist head iframe math noscript object script select style svg template textarea title video".split())
 CLOSES_P = set("address article aside blockquote details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+TELLING = set("article aside footer form header main nav".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "thead": {"tbody", "thead"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "option": {"select"}}
 # Words of class, id and role by what they tell.
@@ -148,11 +149,14 @@ def parse(page: str) -> Tree:
 
 
 def evidence(tree: Tree) -> list[list[str]]:
-    """The features of each node."""
+    """The features of each node: its own, and the telling tags and hints that it stands under."""
     out = []
-    for i, tag in enumerate(tree.tag):
+    under: list[frozenset[str]] = []
+    for i, (tag, parent) in enumerate(zip(tree.tag, tree.parent, strict=True)):
+        above = frozenset() if parent < 0 else under[parent] | tree.hints[parent] | ({tree.tag[parent]} & TELLING)
+        under.append(above)
         own, links = tree.own[i], tree.linked[i]
-        f = [f"tag {tag}", *(f"hint {h}" for h in tree.hints[i])]
+        f = [f"tag {tag}", *(f"hint {h}" for h in tree.hints[i]), *(f"under {h}" for h in above)]
         size = "none" if not own else "word" if own < 20 else "line" if own < 80 else "some" if own < 200 else "much"
         f += [f"own {size}", f"own {size} in {tag}"]
         if own:
@@ -370,4 +374,4 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
                 texts = texts_of([x or "" for x in b.column("html").to_pylist()], model)
                 yield frame({"page_id": b.column("page_id"), "url": b.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}, schema)
 
-    return pages.select("page_id", "url", F.col("html")).mapInArrow(read, schema)
+    return pages.select("page_id", "url", F.col("html")).mapInArrow(lean(read), schema)

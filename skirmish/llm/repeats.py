@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skirmish.llm.bwt import repeated_starts
-from skirmish.llm.common import checkpoint, chunks, frame, hash_key, mix64, set_aside, sieve, sifted, stored, utf8
+from skirmish.llm.common import checkpoint, chunks, frame, hash_key, lean, mix64, set_aside, sieve, sifted, stored, utf8
 from skirmish.llm.shingles import prefix_hash, span_hash
 from skirmish.session import share_code
 
@@ -98,7 +98,7 @@ def _anchor_hashes(texts: DataFrame, least: int, gram: int) -> DataFrame:
             for _, _, raw, at in _read(batch, least):
                 yield frame({"a": anchors(raw, at, least, gram)[1].view(np.int64)}, schema)
 
-    return texts.select("text").mapInArrow(read, schema)
+    return texts.select("text").mapInArrow(lean(read), schema)
 
 
 def _section_rows(texts: DataFrame, least: int, gram: int, sections: int) -> DataFrame:
@@ -123,7 +123,7 @@ def _section_rows(texts: DataFrame, least: int, gram: int, sections: int) -> Dat
                     rows = {"key": key.view(np.int64), "all": every.view(np.int64), "a": a[ok].view(np.int64), "k1": k1[i + row[ok]], "k2": k2[i + row[ok]], "pos": before + x - at[row[ok]], "lo": np.full(n, lo, np.int32), "hi": np.full(n, hi, np.int32), "first": f.astype(np.int32), "last": g.astype(np.int32)}
                     yield frame(rows, PARTS)
 
-    return texts.select("k1", "k2", "text").mapInArrow(read, PARTS)
+    return texts.select("k1", "k2", "text").mapInArrow(lean(read), PARTS)
 
 
 def _cut(asked: DataFrame, least: int) -> DataFrame:
@@ -143,7 +143,7 @@ def _cut(asked: DataFrame, least: int) -> DataFrame:
             out["bytes"] = pa.array(out["bytes"], pa.binary())
             yield frame(out, KINDS)
 
-    return asked.mapInArrow(read, KINDS)
+    return asked.mapInArrow(lean(read), KINDS)
 
 
 def _halves(nodes: DataFrame, least: int, gram: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _halves(nodes: DataFrame, least: int, gram: int) -> DataFrame:
             out["bytes"] = pa.array(out["bytes"], pa.binary())
             yield frame(out, KINDS)
 
-    return nodes.select(*KINDS.names).mapInArrow(split, KINDS)
+    return nodes.select(*KINDS.names).mapInArrow(lean(split), KINDS)
 
 
 def _digest(*parts: int | bytes) -> int:
@@ -204,7 +204,7 @@ def _compare(kinds: DataFrame, least: int) -> DataFrame:
         if held:
             yield marks()
 
-    return kinds.select("key", "id", "kind", "owner", "left", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(run, MARKS)
+    return kinds.select("key", "id", "kind", "owner", "left", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), MARKS)
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, sections: int = SECTIONS) -> DataFrame:
@@ -292,4 +292,4 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> Dat
             values = {c: batch.column(c) for c in names} | {"text": texts} | out
             yield frame(values, schema)
 
-    return joined.mapInArrow(cut, schema).select(*back, *(f.name for f in added))
+    return joined.mapInArrow(lean(cut), schema).select(*back, *(f.name for f in added))

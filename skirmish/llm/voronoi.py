@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skirmish.llm.common import checkpoint, frame
+from skirmish.llm.common import checkpoint, frame, lean
 from skirmish.llm.vectors import batches_of, matrix, sampled, search, usable
 from skirmish.session import share_code
 
@@ -70,7 +70,7 @@ def top(rows: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, pivot
             far = np.sqrt(((x - p[grp]) ** 2).sum(axis=1)) * (1 + SLACK)
             yield frame({"grp": grp.astype(np.int32), "vec_id": b.column("vec_id"), "far": far, "v": b.column("v")}, cells)
 
-    data = checkpoint(vectors.where(F.size("v") == dims).mapInArrow(assign, cells))
+    data = checkpoint(vectors.where(F.size("v") == dims).mapInArrow(lean(assign), cells))
     size, radius = np.zeros(len(p), np.int64), np.zeros(len(p))
     for r in data.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("r")).collect():
         size[r["grp"]], radius[r["grp"]] = r["n"], r["r"]
