@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skirmish.llm.common import frame, slices
+from skirmish.llm.common import frame, lean, slices
 from skirmish.session import share_code
 
-SAMPLE = 12_000  # the most labelled documents that training takes
+SAMPLE = 8_000  # the most labelled documents that training takes
 WORDS, SIGNIFICANT = 300, 12.0  # the most feature words, and the least log-likelihood ratio of one
 FOLDS, FEWEST = 5, 20  # folds of out-of-fold predictions; texts that a category needs
 # Seed words of the categories.
@@ -105,11 +105,17 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5) -> tuple[np.nda
     return w[:-1], float(w[-1])
 
 
-def significant(sets: list[set[str]], y: np.ndarray, most: int = WORDS, least: float = SIGNIFICANT) -> list[str]:
-    """Words commoner in texts with y = 1, by their log-likelihood ratio, best first."""
+def significant(texts: list[str | None], y: np.ndarray, most: int = WORDS, least: float = SIGNIFICANT) -> list[str]:
+    """Features commoner in texts with y = 1, by their log-likelihood ratio, best first. Only features of those texts are
+    counted, and texts are read one by one, so that memory stays bounded by them."""
     pos, neg = Counter(), Counter()
-    for s, v in zip(sets, y, strict=True):
-        (pos if v else neg).update(s)
+    for t, v in zip(texts, y, strict=True):
+        if v:
+            pos.update(features_of(t))
+    pos = Counter({w: a for w, a in pos.items() if a > 1})
+    for t, v in zip(texts, y, strict=True):
+        if not v:
+            neg.update(pos.keys() & features_of(t))
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     scored = []
     for w, a in pos.items():
@@ -123,16 +129,17 @@ def significant(sets: list[set[str]], y: np.ndarray, most: int = WORDS, least: f
 def train(texts: list[str | None], toxic: np.ndarray, seed: int = 3) -> Chain:
     """A chain from labelled texts; without toxic or without other texts it finds nothing toxic."""
     y = np.asarray(toxic, dtype=float)
-    sets = [words_of(t) for t in texts]
     if not len(y) or y.min() == y.max():
         return Chain([], [Link("toxic", np.zeros(0), -500.0)])
-    chain = Chain(significant([features_of(t) for t in texts], y), [])
+    chain = Chain(significant(texts, y), [])
     x = chain.features(texts)
     fold = np.random.default_rng(seed).integers(0, FOLDS, len(y))
     earlier = np.zeros((len(y), 0))
+    seeds = {c: set(words.split()) for c, words in SEEDS.items()}
+    every = set().union(*seeds.values())
+    held = [words_of(t) & every if v else set() for t, v in zip(texts, y, strict=True)]
     for category in CATEGORIES:
-        seeds = set(SEEDS.get(category, "").split())
-        target = y if category == "toxic" else np.array([bool(v and s & seeds) for v, s in zip(y, sets, strict=True)], dtype=float)
+        target = y if category == "toxic" else np.array([bool(s & seeds[category]) for s in held], dtype=float)
         if category != "toxic" and target.sum() < FEWEST:
             continue
         full = np.column_stack([x, earlier])
@@ -173,4 +180,4 @@ def judge(docs: DataFrame, chain: Chain) -> DataFrame:
             values = {f.name: p.get(f.name[2:], none) for f in middle}
             yield frame({"doc_id": b.column("doc_id"), "toxic": p["toxic"] >= chain.threshold, "score": p["toxic"], **values}, schema)
 
-    return docs.select("doc_id", "text").mapInArrow(read, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(read), schema)
