@@ -413,6 +413,14 @@ def event_diagnostics(spark, sf_dir):
     return G.event_diagnostics(events, ev_metadata(events))
 
 
+@query("""
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""", "")
+def event_windows(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    out = events.groupBy(F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"))
+    return rounded(out, 4)
+
+
 # Distributions and relationships
 
 
@@ -506,6 +514,20 @@ def relationship_pearson(spark, sf_dir):
     return rounded(out.select("team_size_mode", "target", "feature", "n", "pearson"))
 
 
+RANK_FEATURES = ["player_kills", "walk_ratio", "damage_per_kill"]
+RANK_SQL = " UNION ALL ".join(f"""
+SELECT g AS team_size_mode, '{t}' AS target, '{f}' AS feature, count(*) AS n, round(CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN corr(rx, ry) END, 6) AS spearman FROM (
+  SELECT g, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2.0 AS ry
+  FROM (SELECT team_size_mode AS g, {f} AS x, {t} AS y FROM base WHERE split <> 'test' AND {v} AND isfinite({f}) AND isfinite({t}))) GROUP BY 1"""
+    for t, v in (("player_survive_time", "valid_survival"), ("normalized_placement", "valid_placement")) for f in RANK_FEATURES)
+
+
+@query(RANK_SQL, "base")
+def relationship_spearman(spark, sf_dir):
+    out = E.correlations(base(spark, sf_dir), {"player_survive_time": "valid_survival", "normalized_placement": "valid_placement"}, RANK_FEATURES)
+    return rounded(out.select("team_size_mode", "target", "feature", "n", "spearman"))
+
+
 DESCRIBED = ["player_kills", "player_dmg"]
 
 
@@ -621,6 +643,15 @@ def metrics_team_aware(spark, sf_dir):
     return rounded(V.team_aware(side(predicted(spark, sf_dir), "b")))
 
 
+MATCH_WEIGHT = "1.0 / count(*) OVER (PARTITION BY match_id)"
+
+
+@query(" UNION ALL ".join(f"SELECT '{k}' AS aggregation, * FROM ({q})" for k, q in (
+    ("micro", metric_sql("pred", "predicted_b")), ("match_aware", metric_sql("pred", "predicted_b", MATCH_WEIGHT)), ("team_aware", metric_sql(TEAM, "predicted_b")))), "pred")
+def hierarchical_metrics(spark, sf_dir):
+    return rounded(V.hierarchical(side(predicted(spark, sf_dir), "b")))
+
+
 @query("WITH a AS (" + metric_sql("pred", "predicted_a") + "), b AS (" + metric_sql("pred", "predicted_b") + ") " + " UNION ALL ".join(
     f"SELECT 'micro' AS aggregation, '{m}' AS metric, a.{m} AS reference, b.{m} AS candidate, round(b.{m} - a.{m}, 4) AS delta FROM a, b" for m in V.METRICS), "pred")
 def paired_deltas(spark, sf_dir):

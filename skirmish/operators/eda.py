@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skirmish.functions.stats import finite, if_finite, number_of, pearson, quantile, skewness
 
 BINS = 30
+SECTIONS = 64  # of the value range, in which ranks are counted
 DEVELOPMENT = ("train", "validation")
 
 
@@ -68,19 +69,29 @@ def date_coverage(rows: DataFrame, time: str = "date") -> DataFrame:
 def average_ranks(rows: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """(by, value, n, rank) of each distinct value: ties share the mean of their positions.
 
-    Only distinct values with their counts are ranked. They are range-partitioned by value; each partition adds up its own
-    counts, and what precedes a partition is a sum over one row per partition, so no task sees all values of a group.
+    Only distinct values with their counts are ranked, in sections between approximate quantiles: each section adds up its own
+    counts, and what precedes a section is a sum over one row per section, so no task sees all values of a group. The quantiles
+    only say where sections end; ranks are exact wherever that is.
     """
     by = by or []
     counts = rows.groupBy(*by, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    dealt = counts.repartitionByRange(*by, "value").sortWithinPartitions(*by, "value").withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part", *by).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    parts = dealt.groupBy("_part", *by).agg(F.sum("n").alias("_n"))
+    ends = rows.agg(F.percentile_approx(column, F.array(*(F.lit(i / SECTIONS) for i in range(1, SECTIONS))), F.lit(1000)).alias("e")).first()["e"] or []
+    ends = sorted({float(e) for e in ends})
+    dealt = counts.withColumn("_part", _section(F.col("value"), ends))
+    inside = Window.partitionBy(*by, "_part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(*by, "_part").agg(F.sum("n").alias("_n"))
     earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     start = parts.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    ranked = dealt.join(start, ["_part", *by])
     before = F.col("_start") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    return ranked.select(*by, "value", "n", (before + (F.col("n") + 1) / 2).alias("rank"))
+    return dealt.join(start, [*by, "_part"]).select(*by, "value", "n", (before + (F.col("n") + 1) / 2).alias("rank"))
+
+
+def _section(value: Column, ends: list[float], first: int = 0) -> Column:
+    """How many of the ends are below the value, by halving."""
+    if not ends:
+        return F.lit(first)
+    i = len(ends) // 2
+    return F.when(value <= ends[i], _section(value, ends[:i], first)).otherwise(_section(value, ends[i + 1 :], first + i + 1))
 
 
 def correlations(rows: DataFrame, targets: dict[str, str], features: list[str], by: str = "team_size_mode") -> DataFrame:
@@ -97,14 +108,11 @@ def correlations(rows: DataFrame, targets: dict[str, str], features: list[str],
     long = rows.select(by, F.explode(pairs).alias("p")).select(by, "p.*").where(finite(F.col("x")) & finite(F.col("y")))
     key = [by, "target", "feature"]
     points = long.groupBy(*key, "x", "y").agg(F.count(F.lit(1)).alias("m"))
-    w = lambda v: Window.partitionBy(*key).orderBy(v)
-    n = F.sum("m").over(Window.partitionBy(*key))
-    below = lambda v: F.sum("m").over(w(v).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    tied = lambda v: F.sum("m").over(Window.partitionBy(*key, v))
-    ranked = points.withColumns({"_n": n, "rx": below("x") - (tied("x") - 1) / 2, "ry": below("y") - (tied("y") - 1) / 2})
-    # weighted moments about the middle, where sums stay small
-    mid = (F.col("_n") + 1) / 2
-    a, b, m = F.col("rx") - mid, F.col("ry") - mid, F.col("m")
+    ranks = {v: average_ranks(long, v, key).select(*key, F.col("value").alias(v), F.col("rank").alias(f"r{v}")) for v in ("x", "y")}
+    sizes = long.groupBy(*key).agg(((F.count(F.lit(1)) + 1) / 2).alias("mid"))
+    ranked = points.join(ranks["x"], [*key, "x"]).join(ranks["y"], [*key, "y"]).join(sizes, key)
+    # weighted moments about the middle rank, where sums stay small
+    a, b, m = F.col("rx") - F.col("mid"), F.col("ry") - F.col("mid"), F.col("m")
     spearman = ranked.groupBy(*key).agg(F.try_divide(F.sum(m * a * b), F.sqrt(F.sum(m * a * a)) * F.sqrt(F.sum(m * b * b))).alias("spearman"))
     plain = long.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), pearson(F.col("x"), F.col("y")).alias("pearson"))
     out = plain.join(spearman, key)
