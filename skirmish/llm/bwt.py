@@ -30,9 +30,9 @@ def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
         now = np.empty(n, np.int64)
         now[order] = number
         after = np.zeros(n, np.int64)
-        after[: n - known] = now[known:] if known < n else []
+        after[: max(0, n - known)] = now[known:]
         rank = now * (n + 1) + after
-        order = np.argsort(rank, kind="stable")
+        order = order[np.argsort(rank[order], kind="stable")]  # nearly sorted already
         known *= 2
 
 

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,14 +32,15 @@ from skirmish.llm.shingles import prefix_hash, span_hash
 from skirmish.session import share_code
 
 LEAST, GRAM = 400, 128
-SECTIONS = 4  # of the offsets that an anchor can have in a string
+SECTIONS = 2  # of the offsets that an anchor can have in a string
 LARGE = 512  # kinds of sections of a group that one transform takes
 SEGMENT = 4 << 20  # bytes of a long text that are read at once
 
 _L, _I = T.LongType(), T.IntegerType()
-#: A section: its key, a hash of all it is, its text, the place of the anchor, the offsets lo to hi that its number stands
-#: for, and the least and greatest offset of the anchor in its own strings.
-PARTS = T.StructType([T.StructField("key", _L), T.StructField("all", _L), T.StructField("a", _L), T.StructField("k1", _L), T.StructField("k2", _L), T.StructField("pos", _L), T.StructField("lo", _I), T.StructField("hi", _I), T.StructField("first", _I), T.StructField("last", _I)])
+#: A section: its key, a hash of all it is, its text, the place of the anchor, and in one number of four times 16 bits the
+#: offsets lo to hi that it stands for, and the least and greatest offset of the anchor in its own strings.
+PARTS = T.StructType([T.StructField(c, _L) for c in ("key", "all", "a", "k1", "k2", "pos", "span")])
+LO, HI, FIRST, LAST = 48, 32, 16, 0
 #: A kind of section with its bytes; left: bytes before the anchor; id and kind: key and hash of the section it came from.
 KINDS = T.StructType([T.StructField("key", _L), T.StructField("all", _L), T.StructField("id", _L), T.StructField("kind", _L), T.StructField("owner", _L), T.StructField("left", _I), T.StructField("lo", _I), T.StructField("hi", _I), T.StructField("bytes", T.BinaryType())])
 MARKS = T.StructType([T.StructField("id", _L), T.StructField("kind", _L), T.StructField("from", _I), T.StructField("to", _I)])
@@ -119,8 +120,7 @@ def _section_rows(texts: DataFrame, least: int, gram: int, sections: int) -> Dat
                     x, f, g = place[ok], first[ok], last[ok]
                     key = mix64(span_hash(p, x - lo, x + least - hi, x - lo) ^ mix64(a[ok], 64), 65 + lo)
                     every = mix64(span_hash(p, x - g, x + least - f, x - g) ^ mix64((f * 65536 + g).astype(np.uint64), 63), 62)
-                    n = len(x)
-                    rows = {"key": key.view(np.int64), "all": every.view(np.int64), "a": a[ok].view(np.int64), "k1": k1[i + row[ok]], "k2": k2[i + row[ok]], "pos": before + x - at[row[ok]], "lo": np.full(n, lo, np.int32), "hi": np.full(n, hi, np.int32), "first": f.astype(np.int32), "last": g.astype(np.int32)}
+                    rows = {"key": key.view(np.int64), "all": every.view(np.int64), "a": a[ok].view(np.int64), "k1": k1[i + row[ok]], "k2": k2[i + row[ok]], "pos": before + x - at[row[ok]], "span": (lo << LO) + (hi << HI) + (f << FIRST) + (g << LAST)}
                     yield frame(rows, PARTS)
 
     return texts.select("k1", "k2", "text").mapInArrow(lean(read), PARTS)
@@ -136,8 +136,9 @@ def _cut(asked: DataFrame, least: int) -> DataFrame:
             for text, want, owner in zip(batch.column("text"), batch.column("want").to_pylist(), owners.tolist(), strict=True):
                 text = text.as_py().encode()
                 for w in want:
-                    begin = w["pos"] - w["last"]
-                    for name, v in zip(out, (w["key"], w["all"], w["key"], w["all"], (owner + begin) % (1 << 64), w["last"], w["lo"], w["hi"], text[begin : w["pos"] + least - w["first"]]), strict=True):
+                    lo, hi, first, last = ((w["span"] >> k) & 65535 for k in (LO, HI, FIRST, LAST))
+                    begin = w["pos"] - last
+                    for name, v in zip(out, (w["key"], w["all"], w["key"], w["all"], (owner + begin) % (1 << 64), last, lo, hi, text[begin : w["pos"] + least - first]), strict=True):
                         out[name].append(v)
             out["owner"] = np.array(out["owner"], dtype=np.uint64).view(np.int64)
             out["bytes"] = pa.array(out["bytes"], pa.binary())
@@ -207,6 +208,10 @@ def _compare(kinds: DataFrame, least: int) -> DataFrame:
     return kinds.select("key", "id", "kind", "owner", "left", "bytes").repartition("key").sortWithinPartitions("key").mapInArrow(lean(run), MARKS)
 
 
+def _of(span: str, shift: int) -> Column:
+    return F.shiftright(span, shift).bitwiseAND(65535).cast("int")
+
+
 def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, sections: int = SECTIONS) -> DataFrame:
     """(k1, k2, spans) for each text with bytes to remove; k1, k2: its hashes (null as empty), spans: (lo, hi) in bytes."""
     share_code(docs.sparkSession)
@@ -214,14 +219,14 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, sectio
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"), k1, k2, "text").where(F.octet_length("text") >= least)
     again = checkpoint(_anchor_hashes(keyed, least, gram).groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"))
     parts = stored(sieve(_section_rows(keyed, least, gram, sections), again, "a").drop("a"))
-    kinds = parts.groupBy("key", "all").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "pos", "lo", "hi", "first", "last")).alias("at"))
+    kinds = parts.groupBy("key", "all").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "pos", "span")).alias("at"))
     groups = kinds.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"), F.sum((F.col("n") == 1).cast("long")).alias("once")).where("n > 1")
     kinds = checkpoint(kinds.withColumnRenamed("n", "same").join(groups, "key"))
-    marks = [kinds.where("same > 1").select(F.col("key").alias("id"), F.col("all").alias("kind"), (-F.col("at.last")).alias("from"), (F.lit(least) - F.col("at.first")).alias("to"))]
+    marks = [kinds.where("same > 1").select(F.col("key").alias("id"), F.col("all").alias("kind"), (-_of("at.span", LAST)).alias("from"), (F.lit(least) - _of("at.span", FIRST)).alias("to"))]
     # keys whose sections are of several kinds, unless all of them are already known to repeat
     asked = kinds.where("m > 1 AND once > 0").select("key", "all", "at.*")
     one = keyed.select("k1", "k2", "_doc").groupBy("k1", "k2").agg(F.min("_doc").alias("_doc"))
-    want = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "all", "pos", "lo", "hi", "first", "last")).alias("want"))
+    want = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "all", "pos", "span")).alias("want"))
     want = checkpoint(want.join(one, ["k1", "k2"]))
     texts = sieve(keyed, want).join(want, ["k1", "k2", "_doc"]).select("k1", "text", "want")
     cut = checkpoint(_cut(texts, least).dropDuplicates(["key", "all"]))
