@@ -19,7 +19,7 @@ def test_stages_against_plain_versions(spark):
     once = stage["near_duplicates"](spark, docs, SF)
     assert {r["doc_id"] for r in once.collect()} == {i for i, (_, c) in comp.items() if i == c}
     cut = stage["repeated_passages"](spark, docs, SF).collect()
-    sizes = {r[0]: r[1] - r[2] for r in brute.without_repeats(rows.items(), 400)}
+    sizes = {r[0]: r[1] - r[2] for r in brute.without_repeats(rows.items(), corpus_pipeline.PASSAGE_BYTES)}
     assert all(len(r["text"].encode()) <= sizes[r["doc_id"]] <= len(r["text"].encode()) + 6 * 50 and r["n_chars"] == len(r["text"]) for r in cut)
     assert stage["mixture"](spark, docs, SF).exceptAll(docs).count() == 0
 
