@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from skirmish.llm.common import checkpoint
 
 
+EDGES = 100_000  # edges of a partition
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, comp) for every vertex of the edges (a, b); comp is the least id that it reaches.
 
@@ -16,18 +19,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Edges are checkpointed each round; a component that has become a star costs its number of edges and no more.
     """
     e = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    last = None
+    size = lambda: e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
+    now = size()
     for _ in range(most_rounds):
+        parts = max(4, -(-now[0] // EDGES))  # a round's tables have few and narrow rows: as many tasks as those need
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.where("u <> v").distinct()  # each vertex hangs below smaller ones only
+        down = large.where("u <> v").coalesce(parts)  # each vertex hangs below smaller ones only
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = checkpoint(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
+        e = checkpoint(small.union(least.select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts))
+        last, now = now, size()
         if now == last:
             break
-        last = now
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(roots)

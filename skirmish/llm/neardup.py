@@ -22,21 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skirmish.llm.common import checkpoint, frame, hash_key, mix64, utf8
+from skirmish.llm.common import checkpoint, frame, hash_key, lean, mix64, set_aside, sieve, slices, utf8
 from skirmish.llm.graph import components
 from skirmish.llm.shingles import by_chunk
 from skirmish.session import share_code
 
 TOKENS = 64  # of a signature
 TREES, CHOSEN = 4, 4  # independent trees, positions that a node chooses
-SMALL = 256  # classes of a node that are compared exhaustively
+SMALL = 1024  # classes of a node, and of either side of a block, that are compared exhaustively
 DEPTH = 3  # levels of branching before blocks of a node are compared
-LIKELY = 34  # equal tokens of TOKENS that make a candidate: five standard deviations below the threshold 0.8
+LIKELY = 36  # equal tokens of TOKENS that make a candidate: nearly five standard deviations below the threshold 0.8
 DENSE = 0.5  # share of one component in a node beyond which branching cannot part it
 
 _L = T.LongType()
 SETS = T.StructType([T.StructField("doc_id", _L), T.StructField("_doc", _L), T.StructField("k1", _L), T.StructField("k2", _L), T.StructField("n_shingles", _L), T.StructField("h1", _L), T.StructField("h2", _L), T.StructField("sig", T.BinaryType())])
 PAIRS = T.StructType([T.StructField("a", _L), T.StructField("b", _L)])
+MEMBERS = T.StructType([T.StructField("key", _L), T.StructField("cid", _L), T.StructField("comp", _L), T.StructField("side", T.IntegerType()), T.StructField("members", _L)])
 NODES = T.StructType([T.StructField("key", _L), T.StructField("cid", _L)])
 _MULTIPLIERS = mix64(np.arange(TOKENS, dtype=np.uint64), 77) | np.uint64(1)
 
@@ -49,7 +50,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """Set size, set hash and signature of each document, with two hashes of its text."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raw, offsets = utf8(batch.column("text"))
             n = len(offsets) - 1
             size, h1, h2 = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
@@ -67,7 +68,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
             values = {c: batch.column(c) for c in ("doc_id", "_doc", "k1", "k2")}
             yield frame({**values, "n_shingles": size, "h1": signed(h1), "h2": signed(h2), "sig": pa.array([r.tobytes() for r in sig], pa.binary())}, SETS)
 
-    return docs.select("doc_id", "_doc", "k1", "k2", "text").mapInArrow(read, SETS)
+    return docs.select("doc_id", "_doc", "k1", "k2", "text").mapInArrow(lean(read), SETS)
 
 
 def _tokens(column: pa.Array) -> np.ndarray:
@@ -92,31 +93,35 @@ def _branch(rows: DataFrame, roots: bool) -> DataFrame:
                 for child in _children(k, sig):
                     yield frame({"key": signed(child), "cid": cid}, NODES)
 
-    return rows.mapInArrow(emit, NODES)
+    return rows.mapInArrow(lean(emit), NODES)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    """(key, columns...) of each run of equal keys; rows come sorted by key. Signatures come as a matrix, texts as a list."""
+    held: list[tuple] = []
 
+    def run() -> tuple:
+        key, *cols = zip(*held, strict=True)
+        return (key[0], *(np.concatenate(x) if isinstance(x[0], np.ndarray) else [v for part in x for v in part] for x in cols))
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(cid, comp, side, signatures) of each run of equal keys; rows come sorted by key."""
-    held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         key = batch.column("key").to_numpy()
-        parts = (batch.column("cid").to_numpy(), batch.column("comp").to_numpy(), batch.column("side").to_numpy(), _tokens(batch.column("sig")))
-        if not len(key):
-            continue
+        parts = [_tokens(batch.column(c)) if c == "sig" else batch.column(c).to_pylist() if c == "text" else batch.column(c).to_numpy() for c in columns]
         cuts = np.flatnonzero(np.diff(key)) + 1
         for i, j in zip([0, *cuts], [*cuts, len(key)], strict=True):
-            if held and held[0][4] != key[i]:
-                yield tuple(np.concatenate(x) for x in list(zip(*held, strict=True))[:4])
+            if held and i < j and held[0][0] != key[i]:
+                yield run()
                 held = []
-            held.append((*(p[i:j] for p in parts), key[i]))
+            if i < j:
+                held.append((key[i], *(p[i:j] for p in parts)))
     if held:
-        yield tuple(np.concatenate(x) for x in list(zip(*held, strict=True))[:4])
+        yield run()
 
 
 def _equal(sig: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(sig), len(sig)), np.int16)
+    out = np.zeros((len(sig), len(sig)), np.uint8)
     for k in range(TOKENS):
-        out += sig[:, k][:, None] == sig[:, k][None, :]
+        out += (sig[:, k][:, None] == sig[:, k][None, :]).view(np.uint8)
     return out
 
 
@@ -134,30 +139,88 @@ def _forest(sig: np.ndarray) -> Iterator[tuple[int, int]]:
         best[better], parent[better] = like[v][better], v
 
 
-def _propose(rows: DataFrame, forest: bool) -> DataFrame:
-    """Likely pairs in each run of equal keys: a spanning forest, or all between different components (and sides, if two)."""
+def _by_key(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select("key", *columns).repartition("key").sortWithinPartitions("key")
+
+
+def _propose(rows: DataFrame) -> DataFrame:
+    """A maximum spanning forest of the likely pairs in each run of equal keys."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, cid, sig in _groups(batches, "cid", "sig"):
+            edges = np.array(list(_forest(sig)), dtype=np.int64).reshape(-1, 2)
+            if len(edges):
+                yield frame({"a": cid[edges].min(axis=1), "b": cid[edges].max(axis=1)}, PAIRS)
+
+    return _by_key(rows, "cid", "sig").mapInArrow(lean(emit), PAIRS)
+
+
+def _apart(comp: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Pairs in different components and, where blocks of the rest meet blocks of all, on different sides."""
+    may = comp[:, None] != comp[None, :]
+    return may & (side[:, None] != side[None, :]) if side.max() > 0 else may
+
+
+def _involved(rows: DataFrame) -> DataFrame:
+    """The rows that have a likely partner in another component, in their run of equal keys."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, cid, comp, side, sig in _groups(batches, "cid", "comp", "side", "sig"):
+            at = np.flatnonzero((_apart(comp, side) & (_equal(sig) >= LIKELY)).any(axis=1))
+            if len(at):
+                members = np.bitwise_xor.reduce(mix64(cid[at].view(np.uint64), 90) ^ side[at].astype(np.uint64))
+                yield frame({"key": np.full(len(at), key), "cid": cid[at], "comp": comp[at], "side": side[at], "members": np.full(len(at), members, np.uint64).view(np.int64)}, MEMBERS)
+
+    return _by_key(rows, "cid", "comp", "side", "sig").mapInArrow(lean(emit), MEMBERS)
+
+
+def common_sizes(sets: np.ndarray, bounds: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """The sizes of all sets' intersections, from their incidence matrix in blocks of columns."""
+    _, column = np.unique(sets, return_inverse=True)
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(bounds) - 1, len(bounds) - 1), np.float64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        i, j = np.searchsorted(column, [lo, lo + columns])
+        m = np.zeros((len(out), columns), np.float32)
+        m[row[i:j], column[i:j] - lo] = 1
+        out += m @ m.T
+    return out.astype(np.int64)
+
+
+def _settle(rows: DataFrame, width: int, threshold: int) -> DataFrame:
+    """Links between components in each run of equal keys: all pairs are checked on their full sets, and a spanning forest of
+    the links found is returned."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
-        for cid, comp, side, sig in _groups(batches):
-            if len(cid) < 2 or (not forest and (comp == comp[0]).all()):
-                continue
-            if forest:
-                edges = np.array(list(_forest(sig)), dtype=np.int64).reshape(-1, 2)
-            else:
-                may = (comp[:, None] != comp[None, :]) & (_equal(sig) >= LIKELY)
-                if side.max() > 0:  # a block of the rest against a block of others
-                    may &= side[:, None] != side[None, :]
-                edges = np.argwhere(np.triu(may, 1))
-            a.append(np.minimum(cid[edges[:, 0]], cid[edges[:, 1]]))
-            b.append(np.maximum(cid[edges[:, 0]], cid[edges[:, 1]]))
-            if sum(map(len, a)) > 50_000:
-                yield frame({"a": np.concatenate(a), "b": np.concatenate(b)}, PAIRS)
-                a, b = [], []
-        if a:
-            yield frame({"a": np.concatenate(a), "b": np.concatenate(b)}, PAIRS)
-
-    return rows.repartition("key").sortWithinPartitions("key").select("key", "cid", "comp", "side", "sig").mapInArrow(emit, PAIRS)
+        for _, cid, comp, side, texts in _groups(batches, "cid", "comp", "side", "text"):
+            raw, offsets = utf8(pa.array(texts, pa.large_string()))
+            parts, sizes = [], [np.zeros(1, np.int64)]
+            for _, _, s, at in by_chunk(raw, offsets, width):
+                parts.append(s)
+                sizes.append(np.diff(at))
+            n = np.concatenate(sizes[1:])
+            common = common_sizes(np.concatenate(parts), np.concatenate([[0], np.cumsum(n)]))
+            linked = _apart(comp, side) & (100 * common >= threshold * (n[:, None] + n[None, :] - common))
+            root = {int(c): int(c) for c in comp}
+
+            def top(x: int, root: dict[int, int] = root) -> int:
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            a, b = [], []
+            for i, j in np.argwhere(np.triu(linked, 1)):
+                x, y = top(int(comp[i])), top(int(comp[j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    a.append(cid[i])
+                    b.append(cid[j])
+            if a:
+                yield frame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, PAIRS)
+
+    return _by_key(rows, "cid", "comp", "side", "text").mapInArrow(lean(emit), PAIRS)
 
 
 class Join:
@@ -169,49 +232,57 @@ class Join:
         k1, k2 = hash_key(F.coalesce("text", F.lit("")))
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"), k1, k2, "text")
         self.sets = checkpoint(shingle_sets(self.docs, width))
-        same = self.sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(F.struct("_doc", "k1", "k2")).alias("rep"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
-        self.classes = checkpoint(same.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "least", "rep", "sig"))
+        self.parts = self.sets.rdd.getNumPartitions()  # of the input; tables of the join are smaller and need no more
+        same = self.sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(F.struct("_doc", "k1", "k2")).alias("rep"), F.min("doc_id").alias("least"), F.min("sig").alias("sig"))
+        self.classes = self.keep(same.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "least", "rep", "sig"))
         self.sigs = self.classes.select("cid", "sig")
-        self.tried: DataFrame | None = None
-        self.links: DataFrame | None = None
         self.comps: DataFrame | None = None
 
+    def keep(self, rows: DataFrame) -> DataFrame:
+        """rows, checkpointed in no more partitions than the input has, so that what reads them need not be dealt from more."""
+        return checkpoint(rows.coalesce(self.parts))
+
+    def with_text(self, rows: DataFrame) -> DataFrame:
+        """rows (with cid) and the text of each class; of the documents' texts, only those that may be wanted are shuffled."""
+        asked = rows.join(self.classes.select("cid", "rep.*"), "cid")
+        return sieve(self.docs.select("_doc", "k1", "k2", "text"), asked).dropDuplicates(["_doc", "k1", "k2"]).join(asked, ["_doc", "k1", "k2"]).drop("_doc", "k1", "k2")
+
     def confirm(self, pairs: DataFrame) -> None:
-        """Check pairs on full sets, and connect what they link."""
-        new = pairs.distinct()
-        if self.tried is not None:
-            new = new.join(self.tried, ["a", "b"], "left_anti")
-        new = checkpoint(new)
+        """Check pairs (a, b) on full sets. Each a comes once before its partners; it has at most TREES x CHOSEN x SMALL."""
+        new = self.keep(pairs.distinct())
         if new.isEmpty():
             return
-        self.tried = new if self.tried is None else self.tried.union(new)
-        needed = new.select(F.col("a").alias("cid")).union(new.select("b")).distinct()
-        reps = needed.join(self.classes.select("cid", "rep.*"), "cid")
-        texts = self.docs.select("_doc", "k1", "k2", "text").join(reps, ["_doc", "k1", "k2"]).select("cid", "text").dropDuplicates(["cid"])
-        texts = texts.select("cid", "text")
-        both = new.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
+        sides = new.select("a").distinct().select("a", F.lit(0).alias("role"), F.col("a").alias("cid")).union(new.select("a", F.lit(1).alias("role"), F.col("b").alias("cid")))
         width, threshold = self.width, self.threshold
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                a, ok = batch.column("a").to_numpy(), np.zeros(batch.num_rows, bool)
-                fresh = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
-                run = np.cumsum(fresh) - 1
-                left: list[np.ndarray] = []
-                for _, _, s, at in by_chunk(*utf8(batch.column("ta").filter(pa.array(fresh))), width):
-                    left += np.split(s, at[1:-1])
-                for i, j, s, at in by_chunk(*utf8(batch.column("tb")), width):
+            x = np.zeros(0, np.uint64)
+            for batch in slices(batches, 512):
+                a, role, cid = (batch.column(c).to_numpy() for c in ("a", "role", "cid"))
+                ok = np.zeros(len(a), bool)
+                for i, j, s, at in by_chunk(*utf8(batch.column("text")), width):
                     for r, y in zip(range(i, j), np.split(s, at[1:-1]), strict=True):
-                        x = left[run[r]]
-                        if len(x) and len(y) and min(len(x), len(y)) * 100 >= threshold * max(len(x), len(y)):
-                            at_x = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                            both_in = int((x[at_x] == y).sum())
-                            ok[r] = 100 * both_in >= threshold * (len(x) + len(y) - both_in)
-                yield frame({"a": a[ok], "b": batch.column("b").to_numpy()[ok]}, PAIRS)
-
-        found = checkpoint(both.select("a", "b", "ta", "tb").mapInArrow(check, PAIRS))
-        self.links = found if self.links is None else self.links.union(found)
-        self.comps = components(self.links)
+                        if role[r] == 0:
+                            x = y
+                        elif len(x) and len(y) and min(len(x), len(y)) * 100 >= threshold * max(len(x), len(y)):
+                            both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+                            ok[r] = 100 * both >= threshold * (len(x) + len(y) - both)
+                yield frame({"a": a[ok], "b": cid[ok]}, PAIRS)
+
+        self.add(self.with_text(sides).select("a", "role", "cid", "text").repartition("a").sortWithinPartitions("a", "role").mapInArrow(lean(check), PAIRS))
+
+    def settle(self, rows: DataFrame) -> None:
+        """Find all links between components in the runs of equal keys; runs with the same members are one."""
+        some = self.keep(_involved(rows))
+        if not some.isEmpty():
+            once = some.select(F.col("members").alias("key"), "cid", "comp", "side").distinct()
+            self.add(_settle(self.with_text(once), self.width, self.threshold))
+
+    def add(self, links: DataFrame) -> None:
+        links = self.keep(links)
+        if not links.isEmpty():
+            known = links if self.comps is None else links.union(self.comps.where("id <> comp").select("comp", "id"))
+            self.comps = components(known)
 
     def labelled(self, nodes: DataFrame) -> DataFrame:
         if self.comps is None:
@@ -223,36 +294,33 @@ class Join:
         for depth in range(1, DEPTH + 1):
             sizes = frontier.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cid")).alias("members")).where("n > 1")
             once = sizes.groupBy("n", "members").agg(F.min("key").alias("key"))  # nodes with the same classes count once
-            nodes = checkpoint(frontier.join(once.select("key", "n"), "key"))
+            nodes = self.keep(frontier.join(once.select("key", "n"), "key"))
+            # nodes share members, so four ways to divide large ones connect most of what one way leaves apart
             blocks = nodes.withColumn("parts", F.call_function("div", F.col("n") + (SMALL - 1), F.lit(SMALL)))
-            part = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("cid", F.lit(depth)), F.col("parts"))))
-            first = blocks.select(part.alias("key"), "cid").join(self.sigs, "cid").select("key", "cid", F.col("cid").alias("comp"), F.lit(0).alias("side"), "sig")
-            self.confirm(_propose(first, forest=True))
-            if self.comps is None:
-                return
+            part = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("cid", F.pmod("key", F.lit(4))), F.col("parts"))))
+            if depth == 1:  # what deeper nodes could connect, these do
+                self.confirm(_propose(blocks.select(part.alias("key"), "cid").join(self.sigs, "cid")))
             named = self.labelled(nodes)
             shares = named.groupBy("key", "n", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key", "n").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
             split = shares.where("comps > 1").select("key", "top")
-            named = checkpoint(named.join(split, "key"))
+            named = self.keep(named.join(split, "key"))
             small = named.where(F.col("n") <= SMALL).join(self.sigs, "cid").select("key", "cid", "comp", F.lit(0).alias("side"), "sig")
             large = named.where(F.col("n") > SMALL)
             dense = (F.col("top.m") >= DENSE * F.col("n")) | F.lit(depth == DEPTH)
-            self.confirm(_propose(small, forest=False).union(self._blocks(large.where(dense))))
+            self.settle(small.union(self._blocks(large.where(dense))))
             left = large.where(~dense)
             if left.isEmpty():
                 return
-            frontier = checkpoint(_branch(left.select("key", "cid").join(self.sigs, "cid"), roots=False))
+            frontier = self.keep(_branch(left.select("key", "cid").join(self.sigs, "cid"), roots=False))
 
     def _blocks(self, large: DataFrame) -> DataFrame:
         """Exhaustive comparison of large nodes: blocks of the classes outside the top component against blocks of all."""
-        half = SMALL // 2
-        marked = large.withColumn("rest", F.col("comp") != F.col("top.comp"))
-        counts = marked.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("rest").cast("long")).alias("out"))
-        sized = marked.join(counts, "key").withColumn("p", F.call_function("div", F.col("all") + (half - 1), F.lit(half))).withColumn("q", F.call_function("div", F.col("out") + (half - 1), F.lit(half)))
+        blocks = lambda n: F.call_function("div", n + (SMALL - 1), F.lit(SMALL))
+        sized = large.withColumns({"rest": F.col("comp") != F.col("top.comp"), "p": blocks(F.col("n")), "q": blocks(F.col("n") - F.col("top.m"))})
         everyone = sized.select("key", "cid", "comp", F.lit(1).alias("side"), F.pmod(F.xxhash64("cid", F.lit(1)), "p").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)).alias("j"))
         rest = sized.where("rest").select("key", "cid", "comp", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1)).alias("i"), F.pmod(F.xxhash64("cid", F.lit(2)), "q").alias("j"))
         pairs = everyone.union(rest).select(F.xxhash64("key", "i", "j").alias("key"), "cid", "comp", "side")
-        return _propose(pairs.join(self.sigs, "cid").select("key", "cid", "comp", "side", "sig"), forest=False)
+        return pairs.join(self.sigs, "cid").select("key", "cid", "comp", "side", "sig")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
@@ -280,10 +348,10 @@ def unique_documents(docs: DataFrame, width: int = 5, threshold: int = 80) -> Da
 
     Of rows with equal doc_id and text one stays. Documents without words stay.
     """
-    names = docs.columns
+    docs, back = set_aside(docs, "doc_id", "text")
     k1, k2 = hash_key(F.coalesce("text", F.lit("")))
     keys = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"), k1.alias("_k1"), k2.alias("_k2"))
     marks = near_duplicates(docs, width, threshold)
     stay = marks.where("kept").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_doc"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
     kept = keys.join(stay, ["_doc", "_k1", "_k2"], "left_semi")
-    return kept.dropDuplicates(["_doc", "_k1", "_k2"]).select(*names)
+    return kept.dropDuplicates(["_doc", "_k1", "_k2"]).select(*back)
