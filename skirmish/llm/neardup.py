@@ -232,7 +232,7 @@ class Join:
         k1, k2 = hash_key(F.coalesce("text", F.lit("")))
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"), k1, k2, "text")
         self.sets = checkpoint(shingle_sets(self.docs, width))
-        self.parts = self.sets.rdd.getNumPartitions()  # of the input; tables of the join are smaller and need no more
+        self.parts = max(1, self.sets.rdd.getNumPartitions())  # of the input; tables of the join are smaller and need no more
         same = self.sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(F.struct("_doc", "k1", "k2")).alias("rep"), F.min("doc_id").alias("least"), F.min("sig").alias("sig"))
         self.classes = self.keep(same.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "least", "rep", "sig"))
         self.sigs = self.classes.select("cid", "sig")
