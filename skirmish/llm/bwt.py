@@ -45,7 +45,7 @@ def unknown_ends(codes: np.ndarray, order: np.ndarray, least: int) -> np.ndarray
     used, dense = np.unique(codes, return_inverse=True)
     sigma = len(used)
     front = dense[order - 1]  # the code before each suffix; the first suffix's is the last code, a 0
-    seen = np.zeros((n + 1, sigma), np.int32)
+    seen = np.zeros((n + 1, sigma), np.uint16 if n < 65536 else np.int32)
     seen[np.arange(1, n + 1), front] = 1
     np.cumsum(seen, axis=0, out=seen)
     first = np.concatenate([[0], np.cumsum(np.bincount(dense, minlength=sigma))])[:sigma]

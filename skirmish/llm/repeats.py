@@ -34,6 +34,7 @@ from skirmish.session import share_code
 LEAST, GRAM = 400, 128
 SECTIONS = 2  # of the offsets that an anchor can have in a string
 LARGE = 512  # kinds of sections of a group that one transform takes
+TOGETHER = 64  # kinds, of several groups, at which a transform starts: its tables then stay in the processor's cache
 SEGMENT = 4 << 20  # bytes of a long text that are read at once
 
 _L, _I = T.LongType(), T.IntegerType()
@@ -197,7 +198,7 @@ def _compare(kinds: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("key", "id", "kind", "owner", "left", "bytes")]
             for key, *rest in zip(*cols, strict=True):
-                if key != last and len(held) >= LARGE:
+                if key != last and len(held) >= TOGETHER:
                     yield marks()
                     held = []
                 held.append(tuple(rest))
