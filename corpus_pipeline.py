@@ -16,8 +16,9 @@ from skirmish.llm.common import checkpoint_folder, set_aside, table
 
 #: Near-duplicates share four fifths of their shingles of five words.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
-#: Passages of more than fifty words repeat: the bytes that nearly all of those have, and those of the anchors in them.
-PASSAGE_BYTES, ANCHOR_BYTES = 250, 80
+#: Passages of more than fifty words repeat: the least words of one, the bytes that nearly all of those have, and those of the
+#: anchors in them. Shorter ones of as many words are found by their words.
+PASSAGE_WORDS, PASSAGE_BYTES, ANCHOR_BYTES = 51, 250, 80
 #: Every source has the same target weight.
 SHARES = None
 
@@ -38,11 +39,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that strings of PASSAGE_BYTES that occur again cover; n_chars counts what is left."""
+    """All documents, without the bytes that strings of PASSAGE_WORDS words or of PASSAGE_BYTES that occur again cover; n_chars
+    counts what is left."""
     from skirmish.llm.repeats import remove_repeats
 
     names = docs.columns
-    done = remove_repeats(docs, PASSAGE_BYTES, ANCHOR_BYTES)
+    done = remove_repeats(docs, PASSAGE_BYTES, ANCHOR_BYTES, PASSAGE_WORDS)
     return done.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in names))
 
 

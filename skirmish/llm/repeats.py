@@ -12,6 +12,9 @@ strings of a section must contain, with its hash, is the section's key. Sections
 - A group of more than LARGE kinds is first split by offsets, with new keys, until it is small: keys of one drop out, groups
   that agree in all bytes are settled, and at a single offset all agree.
 
+- Passages of a number of words that have fewer bytes than LEAST are counted by themselves, by 128-bit digests: only short
+  words make them, so they are few.
+
 Nothing is collected, sampled or capped; texts are read whole.
 """
 
@@ -28,7 +31,7 @@ from pyspark.sql import types as T
 
 from skirmish.llm.bwt import repeated_starts
 from skirmish.llm.common import checkpoint, chunks, frame, hash_key, lean, mix64, set_aside, sieve, sifted, stored, utf8
-from skirmish.llm.shingles import prefix_hash, span_hash
+from skirmish.llm.shingles import prefix_hash, span_hash, word_edges
 from skirmish.session import share_code
 
 LEAST, GRAM = 400, 128
@@ -45,6 +48,8 @@ LO, HI, FIRST, LAST = 48, 32, 16, 0
 #: A kind of section with its bytes; left: bytes before the anchor; id and kind: key and hash of the section it came from.
 KINDS = T.StructType([T.StructField("key", _L), T.StructField("all", _L), T.StructField("id", _L), T.StructField("kind", _L), T.StructField("owner", _L), T.StructField("left", _I), T.StructField("lo", _I), T.StructField("hi", _I), T.StructField("bytes", T.BinaryType())])
 MARKS = T.StructType([T.StructField("id", _L), T.StructField("kind", _L), T.StructField("from", _I), T.StructField("to", _I)])
+#: A short passage: its digest and its bytes lo to hi.
+PASSAGES = T.StructType([T.StructField(c, _L) for c in ("d1", "d2", "k1", "k2", "lo", "hi")])
 
 
 def _least_of(v: np.ndarray, width: int) -> np.ndarray:
@@ -213,11 +218,58 @@ def _of(span: str, shift: int) -> Column:
     return F.shiftright(span, shift).bitwiseAND(65535).cast("int")
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, sections: int = SECTIONS) -> DataFrame:
+def short_passages(raw: np.ndarray, offsets: np.ndarray, words: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, end) of every run of `words` whole words of one row that has fewer than `least` bytes."""
+    starts, ends = word_edges(raw, offsets)
+    first, end = starts[: max(0, len(starts) - words + 1)], ends[words - 1 :]
+    ok = (end - first < least) & (np.searchsorted(offsets, first, side="right") == np.searchsorted(offsets, end, side="left"))
+    return first[ok], end[ok]
+
+
+def _passage_rows(texts: DataFrame, words: int, least: int) -> DataFrame:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
+            whole, offsets = utf8(batch.column("text"))
+            for i, j in chunks(offsets):
+                size = int(offsets[j] - offsets[i])
+                for s in range(0, size if j - i == 1 else 1, SEGMENT):  # a segment of a long row, with a byte before and those that its last passages need
+                    begin, stop = max(0, s - 1), min(size, s + SEGMENT + least) if j - i == 1 else size
+                    raw = whole[offsets[i] + begin : offsets[i] + stop]
+                    at = offsets[i : j + 1] - offsets[i] if j - i > 1 else np.array([0, len(raw)])
+                    first, end = short_passages(raw, at, words, least)
+                    if j - i == 1:
+                        ok = (first + begin >= s) & (first + begin < s + SEGMENT)
+                        first, end = first[ok], end[ok]
+                    if not len(first):
+                        continue
+                    data = raw.tobytes()
+                    digests = b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), end.tolist(), strict=True))
+                    d = np.frombuffer(digests, np.int64).reshape(-1, 2)
+                    row = np.searchsorted(at, first, side="right") - 1
+                    yield frame({"d1": d[:, 0], "d2": d[:, 1], "k1": k1[i + row], "k2": k2[i + row], "lo": begin + first - at[row], "hi": begin + end - at[row]}, PASSAGES)
+
+    return texts.select("k1", "k2", "text").mapInArrow(lean(read), PASSAGES)
+
+
+def _passage_places(docs: DataFrame, words: int, least: int) -> DataFrame:
+    """(k1, k2, lo, hi): the bytes that repeated passages of `words` words with fewer than `least` bytes cover.
+
+    A passage has a byte a word and one between words at least, so those that start in one block of so many bytes overlap.
+    """
+    block = 2 * words - 1
+    passages = _passage_rows(docs.where(F.octet_length("text") >= block), words, least)
+    again = checkpoint(passages.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2"))
+    found = sieve(passages, again, "d1").join(again, ["d1", "d2"])
+    return found.groupBy("k1", "k2", F.call_function("div", "lo", F.lit(block)).alias("_block")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_block")
+
+
+def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, sections: int = SECTIONS, words: int | None = None) -> DataFrame:
     """(k1, k2, spans) for each text with bytes to remove; k1, k2: its hashes (null as empty), spans: (lo, hi) in bytes."""
     share_code(docs.sparkSession)
     k1, k2 = hash_key(F.coalesce("text", F.lit("")))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"), k1, k2, "text").where(F.octet_length("text") >= least)
+    every_text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"), k1, k2, "text")
+    keyed = every_text.where(F.octet_length("text") >= least)
     again = checkpoint(_anchor_hashes(keyed, least, gram).groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"))
     parts = stored(sieve(_section_rows(keyed, least, gram, sections), again, "a").drop("a"))
     kinds = parts.groupBy("key", "all").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "pos", "span")).alias("at"))
@@ -245,6 +297,8 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, sectio
     for m in marks[1:]:
         every = every.union(m)
     places = parts.join(every, (parts["key"] == every["id"]) & (parts["all"] == every["kind"])).select("k1", "k2", (F.col("pos") + F.col("from")).alias("lo"), (F.col("pos") + F.col("to")).alias("hi"))
+    if words:
+        places = places.union(_passage_places(every_text, words, least))
     return places.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
@@ -267,18 +321,19 @@ def without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, words: int | None = None) -> DataFrame:
     """docs with its text cut, and added columns _bytes, _removed, _spans (runs) and _sha256 of the remaining bytes.
 
     Each byte goes that is covered by a string of `least` bytes that also starts anywhere else in the texts, the same text
-    included; strings are judged on the input. A null or empty text has no bytes and stays as it is. Where a cut goes
+    included; strings are judged on the input. With `words`, strings of so many whole words count as well, however few bytes
+    they have; white space is as in shingles, and parts words. A null or empty text has no bytes and stays as it is. Where a cut goes
     through a character, the text loses what is left of the character, while the checksum is that of the remaining bytes.
     Repeated rows are documents of their own, so their texts repeat. Columns of docs with these names are replaced.
     """
     added = [T.StructField("_bytes", _L), T.StructField("_removed", _L), T.StructField("_spans", T.ArrayType(T.StructType([T.StructField("lo", _L), T.StructField("hi", _L)]))), T.StructField("_sha256", T.StringType())]
     docs, back = set_aside(docs.drop(*(f.name for f in added)), "doc_id", "text")
     names = docs.columns
-    spans = checkpoint(repeated_spans(docs, least, gram).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "spans"))
+    spans = checkpoint(repeated_spans(docs, least, gram, words=words).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "spans"))
     k1, k2 = hash_key(F.coalesce("text", F.lit("")))
     marked = sifted(docs.select(*names, k1.alias("_k1"), k2.alias("_k2")), spans, "_k1")
     whole = marked.where("NOT _may").select(*names, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))  # not shuffled

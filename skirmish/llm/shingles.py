@@ -45,9 +45,8 @@ def span_hash(p: np.ndarray, i: np.ndarray | slice, j: np.ndarray | slice, at: n
         return (p[j] - p[i]) * down[at]
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and the n + 1 bounds of each row's words."""
-    low = _LOWER[raw]
+def word_edges(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of each word; no word reaches over the end of a row."""
     inside = ~_SPACE[raw]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -56,8 +55,13 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     edges = edges[(edges > 0) & (edges < len(raw))]
     first[edges] = inside[edges]
     last[edges - 1] = inside[edges - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    p = prefix_hash(low)
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, and the n + 1 bounds of each row's words."""
+    starts, ends = word_edges(raw, offsets)
+    p = prefix_hash(_LOWER[raw])
     h = mix64(span_hash(p, starts, ends, starts) ^ (ends - starts).astype(np.uint64), 1)
     return h, np.searchsorted(starts, offsets)
 
