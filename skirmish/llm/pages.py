@@ -25,9 +25,11 @@ from skirmish.session import share_code
 
 # Element kinds of HTML.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+MATH = set("annotation annotation-xml maction maligngroup malignmark math menclose merror mfenced mfrac mglyph mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+INLINE |= MATH
 VOID = set("area base basefont br col embed frame hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp".split())
-DROPPED = set("audio button canvas datalist head iframe math noscript object script select style svg template textarea title video".split())
+DROPPED = set("audio button canvas datalist head iframe noscript object script select style svg template textarea title video".split())
 CLOSES_P = set("address article aside blockquote details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 TELLING = set("article aside footer form header main nav".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "thead": {"tbody", "thead"}}
@@ -92,10 +94,10 @@ def parse(page: str) -> Tree:
         links -= sum(1 for t, _, _ in stack[upto:] if t == "a")
         del stack[upto:]
 
-    def write(piece: str) -> None:
+    def write(piece: str, raw: bool = False) -> None:
         _, node, dropped = stack[-1]
         if piece and not dropped:
-            text = entities.unescape(piece) if "&" in piece else piece
+            text = entities.unescape(piece) if "&" in piece and not raw else piece
             tree.runs.append((node, text))
             n = len(text.strip())
             tree.own[node] += n
@@ -137,12 +139,13 @@ def parse(page: str) -> Tree:
         if tag not in INLINE:
             hints, label = _hints(m[3])
             node = tree.add(node, tag, hints, label)
-        if m[3].endswith("/") and tag not in RAW and tag not in INLINE:
+        if m[3].endswith("/") and tag not in RAW and (tag not in INLINE or tag in MATH):
             continue
         stack.append((tag, node, gone))
         links += tag == "a"
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(page, at)
+            write(page[at : end.start() if end else size], raw=True)
             at = end.end() if end else size
             close(len(stack) - 1)
     return tree
