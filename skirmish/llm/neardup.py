@@ -76,10 +76,26 @@ def _tokens(column: pa.Array) -> np.ndarray:
     return np.frombuffer(raw.tobytes(), np.uint32).reshape(-1, TOKENS)
 
 
-def _children(key: np.ndarray, sig: np.ndarray) -> Iterator[np.ndarray]:
-    """The keys of the children that each row goes down to; positions depend on the node's key alone."""
+def offsets_of(key: np.ndarray) -> np.ndarray:
+    """The first position of the nodes below the roots; it depends on the node's key alone."""
+    return (mix64(key, 31) % np.uint64(TOKENS // CHOSEN)).astype(np.int64)
+
+
+def root_offset(tree: int) -> int:
+    """The first position of a tree's root: each tree has its own part of the offsets, and takes one there by hash."""
+    part = TOKENS // CHOSEN // TREES
+    return tree * part + int(mix64(np.array([tree], np.uint64), 51)[0] % np.uint64(part))
+
+
+def positions(offset: np.ndarray) -> Iterator[np.ndarray]:
+    """The positions that nodes with such first positions choose."""
     for c in range(CHOSEN):
-        position = (mix64(key, 31) % np.uint64(TOKENS // CHOSEN)).astype(np.int64) + c * (TOKENS // CHOSEN)
+        yield offset + c * (TOKENS // CHOSEN)
+
+
+def _children(key: np.ndarray, sig: np.ndarray, offset: np.ndarray) -> Iterator[np.ndarray]:
+    """The keys of the children that each row goes down to."""
+    for c, position in enumerate(positions(offset)):
         token = sig[np.arange(len(key)), position].astype(np.uint64)
         yield mix64(mix64(key, 40 + c) ^ token, 3)
 
@@ -88,9 +104,13 @@ def _branch(rows: DataFrame, roots: bool) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig, cid = _tokens(batch.column("sig")), batch.column("cid")
-            keys = [mix64(np.full(len(sig), t, np.uint64), 50) for t in range(TREES)] if roots else [batch.column("key").to_numpy().view(np.uint64)]
-            for k in keys:
-                for child in _children(k, sig):
+            if roots:
+                nodes = [(mix64(np.full(len(sig), t, np.uint64), 50), np.full(len(sig), root_offset(t))) for t in range(TREES)]
+            else:
+                key = batch.column("key").to_numpy().view(np.uint64)
+                nodes = [(key, offsets_of(key))]
+            for key, offset in nodes:
+                for child in _children(key, sig, offset):
                     yield frame({"key": signed(child), "cid": cid}, NODES)
 
     return rows.mapInArrow(lean(emit), NODES)
