@@ -4,8 +4,8 @@ Documents become token sequences; sequences longer than the capacity are cut int
 piece first. Items of one length are interchangeable, so packing works on counts by length: every packing partition has a
 histogram of at most `capacity` numbers, whatever the corpus size, and best-fit decreasing places whole runs of equal items
 at once. A dual-feasible-function lower bound certifies a partition whose bin count it meets. Partitions with a gap keep
-their full bins, put the documents of their other bins into a common pool and rerun best-fit decreasing there, as long as
-that saves bins. The plan (runs of equal items, to runs of bins) goes back to the executors, where each piece finds its
+their full bins, put the documents of their other bins into a common pool and rerun best-fit decreasing there, if that saves
+bins. Where the total is still above the bound over all items, certified partitions do so too. The plan (runs of equal items, to runs of bins) goes back to the executors, where each piece finds its
 place from its rank among the pieces of its length: the pieces themselves are neither sorted nor moved to one place.
 """
 
@@ -178,67 +178,74 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Packed:
     return Packed(bins, runs, {k: v for k, v in rooms.items() if v})
 
 
+def exchange(packed: dict[int, Packed], some: list[int], capacity: int) -> tuple[list[tuple[int, Run]], int]:
+    """Runs and bins of some partitions that keep their full bins and pack the items of the others together."""
+    out: list[tuple[int, Run]] = []
+    pool: dict[int, list[tuple[int, Run]]] = defaultdict(list)
+    kept_bins = 0
+    for g in some:
+        open_bins = np.ones(packed[g].bins, bool)
+        for first, n in packed[g].free.get(0, []):
+            open_bins[first : first + n] = False
+        number = np.cumsum(~open_bins) - 1 + kept_bins
+        kept_bins += int((~open_bins).sum())
+        for run in packed[g].runs:
+            bins = -(-(run.hi - run.lo) // run.each)
+            edge = np.flatnonzero(np.diff(open_bins[run.bin : run.bin + bins].astype(np.int8))) + 1
+            for a, b in zip([0, *edge], [*edge, bins], strict=True):
+                part = run.part(run.lo + int(a) * run.each, min(run.hi, run.lo + int(b) * run.each))
+                if open_bins[run.bin + a]:
+                    pool[run.length].append((g, part))
+                else:
+                    out.append((g, Run(run.length, part.lo, part.hi, run.each, int(number[run.bin + a]), run.offset)))
+    exchanged = best_fit({k: sum(r.hi - r.lo for _, r in v) for k, v in pool.items()}, capacity)
+    by_length: dict[int, list[Run]] = defaultdict(list)
+    for run in exchanged.runs:
+        run.bin += kept_bins
+        by_length[run.length].append(run)
+    for length, parts in pool.items():
+        runs, at, i = by_length[length], 0, 0
+        for g, part in parts:
+            end = at + part.hi - part.lo
+            while i < len(runs) and runs[i].lo < end:
+                lo, hi = max(runs[i].lo, at), min(runs[i].hi, end)
+                cut = runs[i].part(lo, hi)
+                out.append((g, Run(length, part.lo + lo - at, part.lo + hi - at, cut.each, cut.bin, cut.offset, cut.phase)))
+                if runs[i].hi > end:
+                    break
+                i += 1
+            at = end
+    return out, kept_bins + exchanged.bins
+
+
 def pack(histograms: dict[int, dict[int, int]], capacity: int = CAPACITY) -> tuple[list[tuple[int, Run]], dict]:
     """Runs by packing partition, with bins numbered over all partitions, and a report of the certificates."""
     packed = {g: best_fit(h, capacity) for g, h in sorted(histograms.items())}
     bound = {g: lower_bound(h, capacity) for g, h in histograms.items()}
-    out: list[tuple[int, Run]] = []
-    total = 0
-    pool: dict[int, list[tuple[int, Run]]] = defaultdict(list)
-    kept_bins = 0
-    gaps = [g for g in packed if packed[g].bins > bound[g]]
-    if len(gaps) > 1:
-        released_bins = 0
-        keep: list[tuple[int, Run]] = []
-        for g in gaps:
-            open_bins = np.ones(packed[g].bins, bool)
-            for first, n in packed[g].free.get(0, []):
-                open_bins[first : first + n] = False
-            number = np.cumsum(~open_bins) - 1 + kept_bins
-            kept_bins += int((~open_bins).sum())
-            released_bins += int(open_bins.sum())
-            for run in packed[g].runs:
-                bins = -(-(run.hi - run.lo) // run.each)
-                edge = np.flatnonzero(np.diff(open_bins[run.bin : run.bin + bins].astype(np.int8))) + 1
-                for a, b in zip([0, *edge], [*edge, bins], strict=True):
-                    part = run.part(run.lo + int(a) * run.each, min(run.hi, run.lo + int(b) * run.each))
-                    if open_bins[run.bin + a]:
-                        pool[run.length].append((g, part))
-                    else:
-                        keep.append((g, Run(run.length, part.lo, part.hi, run.each, int(number[run.bin + a]), run.offset)))
-        exchanged = best_fit({k: sum(r.hi - r.lo for _, r in v) for k, v in pool.items()}, capacity)
-        if exchanged.bins < released_bins:
-            for run in exchanged.runs:
-                run.bin += kept_bins
-            by_length: dict[int, list[Run]] = defaultdict(list)
-            for run in exchanged.runs:
-                by_length[run.length].append(run)
-            for length, parts in pool.items():
-                at = 0
-                for g, part in parts:
-                    for run in by_length[length]:
-                        lo, hi = max(run.lo, at), min(run.hi, at + part.hi - part.lo)
-                        if lo < hi:
-                            cut = run.part(lo, hi)
-                            out.append((g, Run(length, part.lo + lo - at, part.lo + hi - at, cut.each, cut.bin, cut.offset, cut.phase)))
-                    at += part.hi - part.lo
-            out += keep
-            total = kept_bins + exchanged.bins
-        else:
-            gaps = []
-    else:
-        gaps = []
-    for g, p in packed.items():
-        if g not in gaps:
-            for run in p.runs:
-                run.bin += total
-                out.append((g, run))
-            total += p.bins
     whole: dict[int, int] = defaultdict(int)
     for h in histograms.values():
         for k, v in h.items():
             whole[k] += v
-    report = {"bins": total, "bound": lower_bound(whole, capacity), "partitions": {g: (packed[g].bins, bound[g]) for g in packed}, "exchanged": gaps}
+    least = lower_bound(whole, capacity)
+    total = sum(p.bins for p in packed.values())
+    out: list[tuple[int, Run]] = []
+    joined: list[int] = []
+    joined_bins = 0
+    # partitions with a gap first, then, as long as the bound over all items is not met, all
+    for some in ([g for g in packed if packed[g].bins > bound[g]], list(packed)):
+        if len(some) > 1 and total > least:
+            runs, bins = exchange(packed, some, capacity)
+            now = bins + sum(p.bins for g, p in packed.items() if g not in some)
+            if now < total:
+                out, joined, joined_bins, total = runs, some, bins, now
+    at = joined_bins
+    for g, p in packed.items():
+        if g not in joined:
+            for run in p.runs:
+                run.bin += at
+                out.append((g, run))
+            at += p.bins
+    report = {"bins": total, "bound": least, "partitions": {g: (packed[g].bins, bound[g]) for g in packed}, "exchanged": joined}
     return out, report
 
 
