@@ -16,7 +16,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: each re-hangs neighbours on the least one known, so the edges become stars
     in a number of rounds that grows with the logarithm of the size. Hot vertices are pre-aggregated before each shuffle.
-    Edges are checkpointed each round; a component that has become a star costs its number of edges and no more.
+    Edges are checkpointed each round; a component that has become a star costs its number of edges and no more. Where
+    most_rounds do not suffice, it raises instead of returning what is not yet true.
     """
     e = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     size = lambda: e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 31)))).first()
@@ -33,5 +34,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         last, now = now, size()
         if now == last:
             break
+    else:
+        raise RuntimeError(f"components: edges still change after {most_rounds} rounds")
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()
     return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(roots)
