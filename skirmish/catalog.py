@@ -741,4 +741,4 @@ def ari(spark, sf_dir):
 @query("", "")
 def kmeans_centers(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("z"))
-    return K.centers(K.labelled(rows, K.k_means(rows, 4, 42, restarts=3))).select("cluster", "n", "center")
+    return K.centers(K.labelled(rows, K.k_means(rows, 4, 42))).select("cluster", "n", "center")
