@@ -424,7 +424,7 @@ def event_windows(spark, sf_dir):
 # Distributions and relationships
 
 
-STATS_COLUMNS = ["player_kills", "player_dmg", "player_dist_walk", "walk_ratio", "assist_ratio", "player_survive_time"]
+STATS_COLUMNS = [*X.BASE, "player_survive_time", "normalized_placement"]
 
 
 def unpivoted(columns: list[str], where: str = "split <> 'test'") -> str:
@@ -514,7 +514,7 @@ def relationship_pearson(spark, sf_dir):
     return rounded(out.select("team_size_mode", "target", "feature", "n", "pearson"))
 
 
-RANK_FEATURES = ["player_kills", "walk_ratio", "damage_per_kill"]
+RANK_FEATURES = X.BASE
 RANK_SQL = " UNION ALL ".join(f"""
 SELECT g AS team_size_mode, '{t}' AS target, '{f}' AS feature, count(*) AS n, round(CASE WHEN min(rx) < max(rx) AND min(ry) < max(ry) THEN corr(rx, ry) END, 6) AS spearman FROM (
   SELECT g, rank() OVER (PARTITION BY g ORDER BY x) + (count(*) OVER (PARTITION BY g, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY g ORDER BY y) + (count(*) OVER (PARTITION BY g, y) - 1) / 2.0 AS ry
