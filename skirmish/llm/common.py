@@ -27,6 +27,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, parts: int) -> DataFrame:
+    """df in so many partitions; rows are moved only where that is more than it has."""
+    return df.coalesce(parts) if parts < df.rdd.getNumPartitions() else df.repartition(parts)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     sc = share_code(spark).sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -168,7 +173,7 @@ def sifted(rows: DataFrame, wanted: DataFrame, key: str = "k1") -> DataFrame:
     keys share lets more rows through and loses none.
     """
     bit = f"pmod({key}, {SIEVE_BITS}) + 1"
-    bits = wanted.groupBy(F.expr(f"bitmap_bucket_number({bit})").alias("_bucket")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({bit}))").alias("_bits"))
+    bits = wanted.groupBy(F.expr(f"bitmap_bucket_number({bit})").alias("_bucket")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({bit}))").alias("_bits")).coalesce(1)  # 256 rows at most
     at = f"bitmap_bit_position({bit})"
     byte = f"cast(conv(hex(substring(_bits, cast({at} div 8 as int) + 1, 1)), 16, 10) as int)"
     marked = rows.withColumn("_bucket", F.expr(f"bitmap_bucket_number({bit})")).join(F.broadcast(bits), "_bucket", "left")
