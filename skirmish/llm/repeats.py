@@ -48,8 +48,9 @@ LO, HI, FIRST, LAST = 48, 32, 16, 0
 #: A kind of section with its bytes; left: bytes before the anchor; id and kind: key and hash of the section it came from.
 KINDS = T.StructType([T.StructField("key", _L), T.StructField("all", _L), T.StructField("id", _L), T.StructField("kind", _L), T.StructField("owner", _L), T.StructField("left", _I), T.StructField("lo", _I), T.StructField("hi", _I), T.StructField("bytes", T.BinaryType())])
 MARKS = T.StructType([T.StructField("id", _L), T.StructField("kind", _L), T.StructField("from", _I), T.StructField("to", _I)])
-#: A short passage: its digest and its bytes lo to hi.
-PASSAGES = T.StructType([T.StructField(c, _L) for c in ("d1", "d2", "k1", "k2", "lo", "hi")])
+SPANS = T.ArrayType(T.StructType([T.StructField("lo", _L), T.StructField("hi", _L)]))
+#: A short passage of a text: its digest, how often the text has it, and the bytes that it covers there, in maximal runs.
+PASSAGES = T.StructType([*(T.StructField(c, _L) for c in ("d1", "d2", "k1", "k2", "n")), T.StructField("spans", SPANS)])
 
 
 def _least_of(v: np.ndarray, width: int) -> np.ndarray:
@@ -247,7 +248,14 @@ def _passage_rows(texts: DataFrame, words: int, least: int) -> DataFrame:
                     digests = b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), end.tolist(), strict=True))
                     d = np.frombuffer(digests, np.int64).reshape(-1, 2)
                     row = np.searchsorted(at, first, side="right") - 1
-                    yield frame({"d1": d[:, 0], "d2": d[:, 1], "k1": k1[i + row], "k2": k2[i + row], "lo": begin + first - at[row], "hi": begin + end - at[row]}, PASSAGES)
+                    order = np.lexsort((first, d[:, 1], d[:, 0], row))
+                    d, row, lo, hi = d[order], row[order], begin + (first - at[row])[order], begin + (end - at[row])[order]
+                    fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (d[1:] != d[:-1]).any(axis=1)])  # of one text and digest, one row
+                    runs = np.flatnonzero(fresh | np.concatenate([[True], lo[1:] > hi[:-1]]))
+                    one = np.flatnonzero(fresh)
+                    spans = pa.StructArray.from_arrays([pa.array(lo[runs]), pa.array(hi[np.append(runs[1:], len(hi)) - 1])], names=["lo", "hi"])
+                    bounds = np.append(np.searchsorted(runs, one), len(runs)).astype(np.int32)
+                    yield frame({"d1": d[one, 0], "d2": d[one, 1], "k1": k1[i + row[one]], "k2": k2[i + row[one]], "n": np.diff(np.append(one, len(row))), "spans": pa.ListArray.from_arrays(bounds, spans)}, PASSAGES)
 
     return texts.select("k1", "k2", "text").mapInArrow(lean(read), PASSAGES)
 
@@ -259,9 +267,9 @@ def _passage_places(docs: DataFrame, words: int, least: int) -> DataFrame:
     """
     block = 2 * words - 1
     passages = _passage_rows(docs.where(F.octet_length("text") >= block), words, least)
-    again = checkpoint(passages.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2"))
-    found = sieve(passages, again, "d1").join(again, ["d1", "d2"])
-    return found.groupBy("k1", "k2", F.call_function("div", "lo", F.lit(block)).alias("_block")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_block")
+    again = checkpoint(passages.groupBy("d1", "d2").agg(F.sum("n").alias("n")).where("n > 1").select("d1", "d2"))
+    found = sieve(passages, again, "d1").join(again, ["d1", "d2"]).select("k1", "k2", F.explode("spans").alias("at")).select("k1", "k2", "at.*")
+    return checkpoint(found.groupBy("k1", "k2", F.call_function("div", "lo", F.lit(block)).alias("_block")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_block"))
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, sections: int = SECTIONS, words: int | None = None) -> DataFrame:
@@ -330,7 +338,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, words:
     through a character, the text loses what is left of the character, while the checksum is that of the remaining bytes.
     Repeated rows are documents of their own, so their texts repeat. Columns of docs with these names are replaced.
     """
-    added = [T.StructField("_bytes", _L), T.StructField("_removed", _L), T.StructField("_spans", T.ArrayType(T.StructType([T.StructField("lo", _L), T.StructField("hi", _L)]))), T.StructField("_sha256", T.StringType())]
+    added = [T.StructField("_bytes", _L), T.StructField("_removed", _L), T.StructField("_spans", SPANS), T.StructField("_sha256", T.StringType())]
     docs, back = set_aside(docs.drop(*(f.name for f in added)), "doc_id", "text")
     names = docs.columns
     spans = checkpoint(repeated_spans(docs, least, gram, words=words).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "spans"))
