@@ -32,6 +32,7 @@ TREES, CHOSEN = 4, 4  # independent trees, positions that a node chooses
 SMALL = 1024  # classes of a node, and of either side of a block, that are compared exhaustively
 DEPTH = 3  # levels of branching before blocks of a node are compared
 LIKELY = 36  # equal tokens of TOKENS that make a candidate: nearly five standard deviations below the threshold 0.8
+ROWS = 4096  # documents for each partition of the join's own tables
 DENSE = 0.5  # share of one component in a node beyond which branching cannot part it
 
 _L = T.LongType()
@@ -159,11 +160,12 @@ def _forest(sig: np.ndarray) -> Iterator[tuple[int, int]]:
         best[better], parent[better] = like[v][better], v
 
 
-def _by_key(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.select("key", *columns).repartition("key").sortWithinPartitions("key")
+def _by_key(rows: DataFrame, parts: int, *columns: str) -> DataFrame:
+    """The columns with runs of equal keys, in at most so many partitions."""
+    return rows.select("key", *columns).coalesce(parts).repartition("key").sortWithinPartitions("key").coalesce(parts)
 
 
-def _propose(rows: DataFrame) -> DataFrame:
+def _propose(rows: DataFrame, parts: int) -> DataFrame:
     """A maximum spanning forest of the likely pairs in each run of equal keys."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +174,7 @@ def _propose(rows: DataFrame) -> DataFrame:
             if len(edges):
                 yield frame({"a": cid[edges].min(axis=1), "b": cid[edges].max(axis=1)}, PAIRS)
 
-    return _by_key(rows, "cid", "sig").mapInArrow(lean(emit), PAIRS)
+    return _by_key(rows, parts, "cid", "sig").mapInArrow(lean(emit), PAIRS)
 
 
 def _apart(comp: np.ndarray, side: np.ndarray) -> np.ndarray:
@@ -181,7 +183,7 @@ def _apart(comp: np.ndarray, side: np.ndarray) -> np.ndarray:
     return may & (side[:, None] != side[None, :]) if side.max() > 0 else may
 
 
-def _involved(rows: DataFrame) -> DataFrame:
+def _involved(rows: DataFrame, parts: int) -> DataFrame:
     """The rows that have a likely partner in another component, in their run of equal keys."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +193,7 @@ def _involved(rows: DataFrame) -> DataFrame:
                 members = np.bitwise_xor.reduce(mix64(cid[at].view(np.uint64), 90) ^ side[at].astype(np.uint64))
                 yield frame({"key": np.full(len(at), key), "cid": cid[at], "comp": comp[at], "side": side[at], "members": np.full(len(at), members, np.uint64).view(np.int64)}, MEMBERS)
 
-    return _by_key(rows, "cid", "comp", "side", "sig").mapInArrow(lean(emit), MEMBERS)
+    return _by_key(rows, parts, "cid", "comp", "side", "sig").mapInArrow(lean(emit), MEMBERS)
 
 
 def common_sizes(sets: np.ndarray, bounds: np.ndarray, columns: int = 4096) -> np.ndarray:
@@ -209,7 +211,7 @@ def common_sizes(sets: np.ndarray, bounds: np.ndarray, columns: int = 4096) -> n
     return out.astype(np.int64)
 
 
-def _settle(rows: DataFrame, width: int, threshold: int) -> DataFrame:
+def _settle(rows: DataFrame, parts: int, width: int, threshold: int) -> DataFrame:
     """Links between components in each run of equal keys: all pairs are checked on their full sets, and a spanning forest of
     the links found is returned."""
 
@@ -240,7 +242,7 @@ def _settle(rows: DataFrame, width: int, threshold: int) -> DataFrame:
             if a:
                 yield frame({"a": np.minimum(a, b), "b": np.maximum(a, b)}, PAIRS)
 
-    return _by_key(rows, "cid", "comp", "side", "text").mapInArrow(lean(emit), PAIRS)
+    return _by_key(rows, parts, "cid", "comp", "side", "text").mapInArrow(lean(emit), PAIRS)
 
 
 class Join:
@@ -252,27 +254,30 @@ class Join:
         k1, k2 = hash_key(F.coalesce("text", F.lit("")))
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"), k1, k2, "text")
         self.sets = checkpoint(shingle_sets(self.docs, width))
-        self.parts = max(1, self.sets.rdd.getNumPartitions())  # of the input; tables of the join are smaller and need no more
+        self.parts = max(1, min(self.sets.rdd.getNumPartitions(), -(-self.sets.count() // ROWS)))
         same = self.sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min(F.struct("_doc", "k1", "k2")).alias("rep"), F.min("doc_id").alias("least"), F.min("sig").alias("sig"))
         self.classes = self.keep(same.select(F.monotonically_increasing_id().alias("cid"), "h1", "h2", "least", "rep", "sig"))
         self.sigs = self.classes.select("cid", "sig")
         self.comps: DataFrame | None = None
 
     def keep(self, rows: DataFrame) -> DataFrame:
-        """rows, checkpointed in no more partitions than the input has, so that what reads them need not be dealt from more."""
-        return checkpoint(rows.coalesce(self.parts))
+        """rows, checkpointed in no more partitions than the documents need, so that what reads them isn't dealt from more."""
+        return checkpoint(self.few(rows))
+
+    def few(self, rows: DataFrame) -> DataFrame:
+        return rows.coalesce(self.parts)
 
     def with_text(self, rows: DataFrame) -> DataFrame:
         """rows (with cid) and the text of each class; of the documents' texts, only those that may be wanted are shuffled."""
-        asked = rows.join(self.classes.select("cid", "rep.*"), "cid")
-        return sieve(self.docs.select("_doc", "k1", "k2", "text"), asked).dropDuplicates(["_doc", "k1", "k2"]).join(asked, ["_doc", "k1", "k2"]).drop("_doc", "k1", "k2")
+        asked = self.few(rows.join(self.classes.select("cid", "rep.*"), "cid"))
+        return self.few(sieve(self.docs.select("_doc", "k1", "k2", "text"), asked).dropDuplicates(["_doc", "k1", "k2"]).join(asked, ["_doc", "k1", "k2"])).drop("_doc", "k1", "k2")
 
     def confirm(self, pairs: DataFrame) -> None:
         """Check pairs (a, b) on full sets. Each a comes once before its partners; it has at most TREES x CHOSEN x SMALL."""
         new = self.keep(pairs.distinct())
         if new.isEmpty():
             return
-        sides = new.select("a").distinct().select("a", F.lit(0).alias("role"), F.col("a").alias("cid")).union(new.select("a", F.lit(1).alias("role"), F.col("b").alias("cid")))
+        sides = self.few(new.select("a").distinct()).select("a", F.lit(0).alias("role"), F.col("a").alias("cid")).union(new.select("a", F.lit(1).alias("role"), F.col("b").alias("cid")))
         width, threshold = self.width, self.threshold
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,14 +294,14 @@ class Join:
                             ok[r] = 100 * both >= threshold * (len(x) + len(y) - both)
                 yield frame({"a": a[ok], "b": cid[ok]}, PAIRS)
 
-        self.add(self.with_text(sides).select("a", "role", "cid", "text").repartition("a").sortWithinPartitions("a", "role").mapInArrow(lean(check), PAIRS))
+        self.add(self.with_text(sides).select("a", "role", "cid", "text").repartition("a").sortWithinPartitions("a", "role").coalesce(self.parts).mapInArrow(lean(check), PAIRS))
 
     def settle(self, rows: DataFrame) -> None:
         """Find all links between components in the runs of equal keys; runs with the same members are one."""
-        some = self.keep(_involved(rows))
+        some = self.keep(_involved(rows, self.parts))
         if not some.isEmpty():
             once = some.select(F.col("members").alias("key"), "cid", "comp", "side").distinct()
-            self.add(_settle(self.with_text(once), self.width, self.threshold))
+            self.add(_settle(self.with_text(self.few(once)), self.parts, self.width, self.threshold))
 
     def add(self, links: DataFrame) -> None:
         links = self.keep(links)
@@ -307,22 +312,22 @@ class Join:
     def labelled(self, nodes: DataFrame) -> DataFrame:
         if self.comps is None:
             return nodes.withColumn("comp", F.col("cid"))
-        return nodes.join(self.comps.withColumnRenamed("id", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+        return self.few(nodes.join(self.comps.withColumnRenamed("id", "cid"), "cid", "left")).withColumn("comp", F.coalesce("comp", "cid"))
 
     def run(self) -> None:
         frontier = _branch(self.sigs, roots=True)
         for depth in range(1, DEPTH + 1):
             sizes = frontier.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("cid")).alias("members")).where("n > 1")
-            once = sizes.groupBy("n", "members").agg(F.min("key").alias("key"))  # nodes with the same classes count once
-            nodes = self.keep(frontier.join(once.select("key", "n"), "key"))
+            once = self.few(sizes).groupBy("n", "members").agg(F.min("key").alias("key"))  # nodes with the same classes count once
+            nodes = self.keep(frontier.join(self.few(once).select("key", "n"), "key"))
             # nodes share members, so four ways to divide large ones connect most of what one way leaves apart
             blocks = nodes.withColumn("parts", F.call_function("div", F.col("n") + (SMALL - 1), F.lit(SMALL)))
             part = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.pmod(F.xxhash64("cid", F.pmod("key", F.lit(4))), F.col("parts"))))
             if depth == 1:  # what deeper nodes could connect, these do
-                self.confirm(_propose(blocks.select(part.alias("key"), "cid").join(self.sigs, "cid")))
+                self.confirm(_propose(blocks.select(part.alias("key"), "cid").join(self.sigs, "cid"), self.parts))
             named = self.labelled(nodes)
-            shares = named.groupBy("key", "n", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key", "n").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
-            split = shares.where("comps > 1").select("key", "top")
+            shares = self.few(named.groupBy("key", "n", "comp").agg(F.count(F.lit(1)).alias("m"))).groupBy("key", "n").agg(F.max(F.struct("m", "comp")).alias("top"), F.count(F.lit(1)).alias("comps"))
+            split = self.few(shares.where("comps > 1")).select("key", "top")
             named = self.keep(named.join(split, "key"))
             small = named.where(F.col("n") <= SMALL).join(self.sigs, "cid").select("key", "cid", "comp", F.lit(0).alias("side"), "sig")
             large = named.where(F.col("n") > SMALL)
@@ -331,7 +336,7 @@ class Join:
             left = large.where(~dense)
             if left.isEmpty():
                 return
-            frontier = self.keep(_branch(left.select("key", "cid").join(self.sigs, "cid"), roots=False))
+            frontier = checkpoint(_branch(left.select("key", "cid").join(self.sigs, "cid"), roots=False))
 
     def _blocks(self, large: DataFrame) -> DataFrame:
         """Exhaustive comparison of large nodes: blocks of the classes outside the top component against blocks of all."""
