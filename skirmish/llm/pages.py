@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skirmish.llm.common import frame, lean
+from skirmish.llm.common import chunks, frame, lean, slices, utf8
 from skirmish.session import share_code
 
 # Element kinds of HTML.
@@ -71,28 +71,51 @@ class Tree:
         return len(self.parent) - 1
 
 
-@functools.lru_cache(maxsize=4096)
-def _hints(attributes: str) -> tuple[frozenset[str], int]:
-    found, label = set(), -1
+def _read_hints(attributes: str) -> frozenset[str]:
+    found = set()
     for name, a, b, c in _ATTR.findall(attributes):
-        name = name.lower()
-        if name in ("class", "id", "role", "aria-label", "itemprop"):
+        if name.lower() in ("class", "id", "role", "aria-label", "itemprop"):
             found |= {HINT_OF[w] for w in _WORD.findall((a or b or c).lower()) if w in HINT_OF}
-        elif name == "data-y":
-            label = int(a or b or c)
-    return frozenset(found), label
+    return frozenset(found)
 
 
-def parse(page: str) -> Tree:
-    """The block elements of a page and their text. Broken markup closes as browsers would; dropped elements have no text."""
+_common_hints = functools.lru_cache(maxsize=4096)(_read_hints)
+
+
+def _hints(attributes: str) -> frozenset[str]:
+    return _common_hints(attributes) if len(attributes) < 256 else _read_hints(attributes)
+
+
+def _label(attributes: str) -> int:
+    """What generated pages say of an element."""
+    m = re.search(r'data-y="([01])"', attributes)
+    return int(m[1]) if m else -1
+
+
+def parse(page: str, labelled: bool = False) -> Tree:
+    """The block elements of a page and their text. Broken markup closes as browsers would; dropped elements have no text.
+
+    Every step but closing looks at a bounded number of open elements, so the time is linear in the page, however many of
+    them stay open. Only pages for training are labelled.
+    """
     tree = Tree()
     stack: list[tuple[str, int, bool]] = [("#root", tree.add(-1, "#root", frozenset(), -1), False)]  # tag, node, dropped
+    where: dict[str, list[int]] = {"#root": [0]}  # of each tag, its places in the stack
+    blocks = [0]  # the places of elements that aren't inline
     links, at, size = 0, 0, len(page)
 
     def close(upto: int) -> None:
         nonlocal links
-        links -= sum(1 for t, _, _ in stack[upto:] if t == "a")
-        del stack[upto:]
+        while len(stack) > upto:
+            t, _, _ = stack.pop()
+            where[t].pop()
+            links -= t == "a"
+            if blocks[-1] == len(stack):
+                blocks.pop()
+
+    def last(tags: set[str]) -> int:
+        """The place of the innermost open element with one of the tags; 0 if there is none."""
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
 
     def write(piece: str, raw: bool = False) -> None:
         _, node, dropped = stack[-1]
@@ -115,32 +138,30 @@ def parse(page: str) -> Tree:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+            if where.get(tag):
+                close(where[tag][-1])
             continue
         if tag == "br":
             write(" ")
             continue
         if tag in VOID:
             continue
-        if tag in CLOSES_P or tag in SIBLINGS:
-            out, stop = SIBLINGS.get(tag, set()) | ({"p"} if tag in CLOSES_P else set()), STOPS.get(tag, set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in out:
-                    close(i)
-                    if tag not in ("tr", "tbody"):
-                        break
-                elif stack[i][0] in stop or (stack[i][0] not in INLINE and tag in CLOSES_P):
+        if tag in CLOSES_P and stack[blocks[-1]][0] == "p":
+            close(blocks[-1])
+        elif tag in SIBLINGS:
+            while (i := last(SIBLINGS[tag])) > last(STOPS[tag]):
+                close(i)
+                if tag not in ("tr", "tbody"):
                     break
         _, node, dropped = stack[-1]
         gone = dropped or tag in DROPPED
         if tag not in INLINE:
-            hints, label = _hints(m[3])
-            node = tree.add(node, tag, hints, label)
+            node = tree.add(node, tag, _hints(m[3]), _label(m[3]) if labelled else -1)
         if m[3].endswith("/") and tag not in RAW and (tag not in INLINE or tag in MATH):
             continue
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        where.setdefault(tag, []).append(len(stack))
         stack.append((tag, node, gone))
         links += tag == "a"
         if tag in RAW:
@@ -308,7 +329,7 @@ def train(n: int = 600) -> Model:
     """
     rows, y, near = [], [], []
     for page in labelled_pages(n):
-        tree = parse(page)
+        tree = parse(page, labelled=True)
         sign = [0 if v < 0 else 2 * v - 1 for v in tree.label]
         around = [sign[p] if p >= 0 else 0 for p in tree.parent]
         for i, p in enumerate(tree.parent):
@@ -365,15 +386,17 @@ def texts_of(pages: list[str], model: Model) -> list[str]:
 
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page. A null or empty page has an empty text; other columns don't matter."""
+    """(page_id, url, text, n_chars) of every page. A null or empty page has an empty text; other columns don't matter.
+
+    Repeated rows are pages of their own and have equal texts. Pages are read whole, however long; few long ones at once.
+    """
     share_code(pages.sparkSession)
     model = model or train()
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
+            for b in slices((whole.slice(i, j - i) for i, j in chunks(utf8(whole.column("html"))[1], 4 << 20)), 256):
                 texts = texts_of([x or "" for x in b.column("html").to_pylist()], model)
                 yield frame({"page_id": b.column("page_id"), "url": b.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}, schema)
 

@@ -306,7 +306,7 @@ def test_marginals_are_those_of_all_labellings():
 def test_held_out_pages():
     model, good, n = pages.train(), 0, 0
     for page in pages.labelled_pages(100, seed=5):
-        t = pages.parse(page)
+        t = pages.parse(page, labelled=True)
         p = pages.marginals(np.array(t.parent), pages.depths(t.parent), model.unary(t), model.pair) >= 0.5
         for want, got, own in zip(t.label, p, t.own, strict=True):
             if want >= 0 and own:
