@@ -65,7 +65,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skirmish.llm.repeats import remove_repeats
 
     done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.col("_sha256").alias("kept_sha256"))
+    return done.select("doc_id", F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.size("_spans").cast("long").alias("n_spans"), F.col("_sha256").alias("kept_sha256"), F.col("text"))
 
 
 def op9_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
