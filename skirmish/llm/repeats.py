@@ -38,7 +38,7 @@ LEAST, GRAM = 400, 128
 SECTIONS = 2  # of the offsets that an anchor can have in a string
 LARGE = 512  # kinds of sections of a group that one transform takes
 TOGETHER = 64  # kinds, of several groups, at which a transform starts: its tables then stay in the processor's cache
-ROWS = 4096  # rows of a partition of the tables of sections
+ROWS, COMPARED = 4096, 512  # rows of a partition of the tables of sections, and of those that are compared
 SEGMENT = 4 << 20  # bytes of a long text that are read at once
 
 _L, _I = T.LongType(), T.IntegerType()
@@ -184,8 +184,10 @@ def _digest(*parts: int | bytes) -> int:
     return int.from_bytes(h.digest(), "little", signed=True)
 
 
-def _compare(kinds: DataFrame, least: int, parts: int) -> DataFrame:
-    """Marks of the strings that repeat among sections with equal keys; a place of the corpus counts once."""
+def _compare(kinds: DataFrame, least: int, rows: int) -> DataFrame:
+    """Marks of the strings that repeat among sections with equal keys; a place of the corpus counts once. rows: how many
+    kinds there are at most. A transform costs more time than its bytes tell, so the number of tasks is set by rows."""
+    parts = max(1, min(int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // COMPARED)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -213,7 +215,7 @@ def _compare(kinds: DataFrame, least: int, parts: int) -> DataFrame:
         if held:
             yield marks()
 
-    return kinds.select("key", "id", "kind", "owner", "left", "bytes").repartition("key").sortWithinPartitions("key").coalesce(parts).mapInArrow(lean(run), MARKS)
+    return kinds.select("key", "id", "kind", "owner", "left", "bytes").repartition(parts, "key").sortWithinPartitions("key").coalesce(parts).mapInArrow(lean(run), MARKS)
 
 
 def _of(span: str, shift: int) -> Column:
@@ -276,6 +278,7 @@ def _passage_places(docs: DataFrame, words: int, least: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, sections: int = SECTIONS, words: int | None = None) -> DataFrame:
     """(k1, k2, spans) for each text with bytes to remove; k1, k2: its hashes (null as empty), spans: (lo, hi) in bytes."""
     share_code(docs.sparkSession)
+    parts_of = lambda n: max(1, -(-n // ROWS))
     k1, k2 = hash_key(F.coalesce("text", F.lit("")))
     every_text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_doc"), k1, k2, "text")
     keyed = every_text.where(F.octet_length("text") >= least)
@@ -283,12 +286,12 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, sectio
     parts = stored(sieve(_section_rows(keyed, least, gram, sections), again, "a").drop("a"))
     kinds = parts.groupBy("key", "all").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "pos", "span")).alias("at"))
     groups = kinds.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"), F.sum((F.col("n") == 1).cast("long")).alias("once")).where("n > 1")
-    kinds = checkpoint(kinds.withColumnRenamed("n", "same").join(groups, "key").coalesce(max(1, -(-parts.count() // ROWS))))
+    kinds = checkpoint(kinds.withColumnRenamed("n", "same").join(groups, "key").coalesce(parts_of(parts.count())))
     marks = [kinds.where("same > 1").select(F.col("key").alias("id"), F.col("all").alias("kind"), (-_of("at.span", LAST)).alias("from"), (F.lit(least) - _of("at.span", FIRST)).alias("to"))]
     # keys whose sections are of several kinds, unless all of them are already known to repeat
     asked = kinds.where("m > 1 AND once > 0").select("key", "all", "at.*")
-    parts_of = lambda rows: max(1, min(rows.rdd.getNumPartitions(), -(-rows.count() // ROWS)))
-    few = parts_of(asked)
+    n = asked.count()
+    few = parts_of(n)
     asked = asked.coalesce(few)
     one = keyed.select("k1", "k2", "_doc").groupBy("k1", "k2").agg(F.min("_doc").alias("_doc"))
     want = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("key", "all", "pos", "span")).alias("want"))
@@ -296,15 +299,16 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, sectio
     texts = sieve(keyed, want).join(want, ["k1", "k2", "_doc"]).select("k1", "text", "want")
     cut = checkpoint(_cut(texts.coalesce(few), least).dropDuplicates(["key", "all"]).coalesce(few))
     sized = checkpoint(cut.join(kinds.select("key", "m").distinct(), "key").coalesce(few))
-    marks.append(_compare(sized.where(F.col("m") <= LARGE), least, few))
+    marks.append(_compare(sized.where(F.col("m") <= LARGE), least, n))
     nodes = sized.where(F.col("m") > LARGE)
     while not nodes.isEmpty():
         nodes = checkpoint(_halves(nodes, least, gram))
-        few = parts_of(nodes)
+        n = nodes.count()
+        few = parts_of(n)
         sorts = nodes.groupBy("key", "all").agg(F.count(F.lit(1)).alias("same")).coalesce(few).groupBy("key").agg(F.sum("same").alias("n"), F.count(F.lit(1)).alias("kinds")).where("n > 1")
         sized = checkpoint(nodes.coalesce(few).join(sorts, "key").coalesce(few))
         marks.append(sized.where("kinds = 1").select("id", "kind", (-F.col("left")).alias("from"), (F.octet_length("bytes") - F.col("left")).alias("to")))
-        marks.append(_compare(sized.where((F.col("kinds") > 1) & (F.col("n") <= LARGE)), least, few))
+        marks.append(_compare(sized.where((F.col("kinds") > 1) & (F.col("n") <= LARGE)), least, n))
         nodes = sized.where((F.col("kinds") > 1) & (F.col("n") > LARGE))
     every = marks[0]
     for m in marks[1:]:
