@@ -3,9 +3,9 @@
 Documents become token sequences; sequences longer than the capacity are cut into capacity-long pieces with the shorter
 piece first. Items of one length are interchangeable, so packing works on counts by length: every packing partition has a
 histogram of at most `capacity` numbers, whatever the corpus size, and best-fit decreasing places whole runs of equal items
-at once. A dual-feasible-function lower bound certifies a partition whose bin count it meets. Partitions with a gap keep
-their full bins, put the documents of their other bins into a common pool and rerun best-fit decreasing there, if that saves
-bins. Where the total is still above the bound over all items, certified partitions do so too. The plan (runs of equal items, to runs of bins) goes back to the executors, where each piece finds its
+at once. A dual-feasible-function lower bound certifies a partition whose bin count it meets. Partitions with a gap put
+the documents of bins with room into a common pool and rerun best-fit decreasing there, if that saves bins: first those of
+the emptiest bins, then, as long as the bound over all items is not met, those of all bins that aren't full. Where the total is still above the bound over all items, certified partitions do so too. The plan (runs of equal items, to runs of bins) goes back to the executors, where each piece finds its
 place from its rank among the pieces of its length: the pieces themselves are neither sorted nor moved to one place.
 """
 
@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,8 @@ from skirmish.llm.common import frame, lean, numbered
 CAPACITY = 1024
 END = 2
 PARTITIONS = 8
+ROOMS = (512, 256, 128, 64, 32, 16, 8, 4, 2, 1)  # the least room of bins whose items are exchanged, tried in turn
+CLASSES = 4096  # class of a piece: CLASSES x its packing partition + its length
 PIECES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
     T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("class", T.LongType()),
@@ -65,28 +67,29 @@ class Ids:
         return self.full.encode(text, add_special_tokens=False).ids
 
 
-def pieces(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: int = CAPACITY, end: int = END, doc_id: str = "doc_id", text: str = "text", window: Column | None = None) -> DataFrame:
     """One row per piece of each document: its place in the document, its length and the checksum of its ids.
 
-    A null text counts as empty, and an empty text has the end id alone. Repeated rows are documents of their own.
+    window: the packing partition of a document, from 0 on; without it, documents are dealt over PARTITIONS of them. A null text counts as empty, and an empty text has the end id alone. Repeated rows are documents of their own.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = Ids(vocabulary, ranks)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            out: dict[str, list] = {f.name: [] for f in PIECES[:-1]}
+            ids, texts, windows = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
+            out: dict[str, list] = {f.name: [] for f in PIECES}
             for i, doc in enumerate(ids):
                 tokens = np.array([*ids_of(texts[i].as_py() or ""), end], dtype="<u4")
                 n = len(tokens)
                 first = n if n <= capacity else n % capacity or capacity
                 for j, at in enumerate([0, *range(first, n, capacity)]):
                     piece = tokens[at : first if j == 0 else at + capacity]
-                    for k, v in zip(out, (doc, j, at, len(piece), zlib.crc32(piece.tobytes())), strict=True):
+                    for k, v in zip(out, (doc, j, at, len(piece), zlib.crc32(piece.tobytes()), windows[i] * CLASSES + len(piece)), strict=True):
                         out[k].append(v)
-            yield frame({**out, "class": out["length"]}, PIECES)
+            yield frame(out, PIECES)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(cut), PIECES)
+    window = F.spark_partition_id() % PARTITIONS if window is None else window
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), window.cast("long").alias("window")).mapInArrow(lean(cut), PIECES)
 
 
 def lower_bound(histogram: dict[int, int], capacity: int) -> int:
@@ -178,17 +181,17 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Packed:
     return Packed(bins, runs, {k: v for k, v in rooms.items() if v})
 
 
-def exchange(packed: dict[int, Packed], some: list[int], capacity: int) -> tuple[list[tuple[int, Run]], int]:
-    """Runs and bins of some partitions that keep their full bins and pack the items of the others together."""
+def exchange(packed: dict[int, Packed], some: list[int], capacity: int, room: int = 1) -> tuple[dict[int, Packed], list[tuple[int, Run]], int]:
+    """Some partitions without their bins that have room, and the runs of those bins' items, packed together in so many bins."""
     out: list[tuple[int, Run]] = []
     pool: dict[int, list[tuple[int, Run]]] = defaultdict(list)
-    kept_bins = 0
+    kept: dict[int, Packed] = {}
     for g in some:
-        open_bins = np.ones(packed[g].bins, bool)
-        for first, n in packed[g].free.get(0, []):
-            open_bins[first : first + n] = False
-        number = np.cumsum(~open_bins) - 1 + kept_bins
-        kept_bins += int((~open_bins).sum())
+        open_bins = np.zeros(packed[g].bins, bool)
+        for first, n in (x for left, runs in packed[g].free.items() if left >= room for x in runs):
+            open_bins[first : first + n] = True
+        number = np.cumsum(~open_bins) - 1
+        kept[g] = Packed(int((~open_bins).sum()), [])
         for run in packed[g].runs:
             bins = -(-(run.hi - run.lo) // run.each)
             edge = np.flatnonzero(np.diff(open_bins[run.bin : run.bin + bins].astype(np.int8))) + 1
@@ -197,11 +200,10 @@ def exchange(packed: dict[int, Packed], some: list[int], capacity: int) -> tuple
                 if open_bins[run.bin + a]:
                     pool[run.length].append((g, part))
                 else:
-                    out.append((g, Run(run.length, part.lo, part.hi, run.each, int(number[run.bin + a]), run.offset)))
+                    kept[g].runs.append(Run(run.length, part.lo, part.hi, run.each, int(number[run.bin + a]), run.offset))
     exchanged = best_fit({k: sum(r.hi - r.lo for _, r in v) for k, v in pool.items()}, capacity)
     by_length: dict[int, list[Run]] = defaultdict(list)
     for run in exchanged.runs:
-        run.bin += kept_bins
         by_length[run.length].append(run)
     for length, parts in pool.items():
         runs, at, i = by_length[length], 0, 0
@@ -215,11 +217,12 @@ def exchange(packed: dict[int, Packed], some: list[int], capacity: int) -> tuple
                     break
                 i += 1
             at = end
-    return out, kept_bins + exchanged.bins
+    return kept, out, exchanged.bins
 
 
 def pack(histograms: dict[int, dict[int, int]], capacity: int = CAPACITY) -> tuple[list[tuple[int, Run]], dict]:
-    """Runs by packing partition, with bins numbered over all partitions, and a report of the certificates."""
+    """Runs by packing partition, with bins numbered partition after partition and then those of exchanged items, and a
+    report of the certificates."""
     packed = {g: best_fit(h, capacity) for g, h in sorted(histograms.items())}
     bound = {g: lower_bound(h, capacity) for g, h in histograms.items()}
     whole: dict[int, int] = defaultdict(int)
@@ -228,43 +231,42 @@ def pack(histograms: dict[int, dict[int, int]], capacity: int = CAPACITY) -> tup
             whole[k] += v
     least = lower_bound(whole, capacity)
     total = sum(p.bins for p in packed.values())
-    out: list[tuple[int, Run]] = []
-    joined: list[int] = []
-    joined_bins = 0
+    kept, pooled, pooled_bins, joined = {}, [], 0, []
     # partitions with a gap first, then, as long as the bound over all items is not met, all
     for some in ([g for g in packed if packed[g].bins > bound[g]], list(packed)):
-        if len(some) > 1 and total > least:
-            runs, bins = exchange(packed, some, capacity)
-            now = bins + sum(p.bins for g, p in packed.items() if g not in some)
-            if now < total:
-                out, joined, joined_bins, total = runs, some, bins, now
-    at = joined_bins
-    for g, p in packed.items():
-        if g not in joined:
-            for run in p.runs:
-                run.bin += at
-                out.append((g, run))
-            at += p.bins
+        for room in ROOMS:  # as few bins as serve: what is exchanged leaves its partition
+            if len(some) > 1 and total > least:
+                full, runs, bins = exchange(packed, some, capacity, room)
+                now = bins + sum(full.get(g, p).bins for g, p in packed.items())
+                if now < total:
+                    kept, pooled, pooled_bins, joined, total = full, runs, bins, some, now
+    out: list[tuple[int, Run]] = []
+    at = 0
+    for g, p in [*((g, kept.get(g, p)) for g, p in packed.items()), (-1, Packed(pooled_bins, []))]:
+        for h, run in pooled if g < 0 else ((g, r) for r in p.runs):
+            run.bin += at
+            out.append((h, run))
+        at += p.bins
     report = {"bins": total, "bound": least, "partitions": {g: (packed[g].bins, bound[g]) for g in packed}, "exchanged": joined}
     return out, report
 
 
-def place(items: DataFrame, capacity: int = CAPACITY, partitions: int = PARTITIONS) -> DataFrame:
-    """items (with a column length, 1 to capacity) with sequence_id and offset.
+def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """items (with columns length, 1 to capacity, and class) with sequence_id and offset.
 
-    The driver gets at most partitions x capacity counts. The plan is as small: it depends on the number of lengths only.
+    The sequences of a packing partition come before those of the next; those of exchanged pieces, few for each partition,
+    come last. The driver gets at most capacity counts for each packing partition. The plan is as small: it depends on the number of lengths only.
     """
     kept = [f for f in items.schema.fields if f.name != "class"]
-    shaped = items.withColumn("class", F.col("length") + 4096 * (F.spark_partition_id() % partitions).cast("long"))
-    ranked = numbered(shaped, "class", rank="rank")
+    ranked = numbered(items, "class", rank="rank")
     rows = ranked.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()
     histograms: dict[int, dict[int, int]] = defaultdict(dict)
     for r in rows:
-        histograms[r["class"] // 4096][r["class"] % 4096] = r["n"]
+        histograms[r["class"] // CLASSES][r["class"] % CLASSES] = r["n"]
     plan, _ = pack(histograms, capacity)
-    plan.sort(key=lambda x: (x[0] * 4096 + x[1].length, x[1].lo))
+    plan.sort(key=lambda x: (x[0] * CLASSES + x[1].length, x[1].lo))
     wide = 1 << 40
-    start = np.array([(g * 4096 + r.length) * wide + r.lo for g, r in plan], dtype=np.int64)
+    start = np.array([(g * CLASSES + r.length) * wide + r.lo for g, r in plan], dtype=np.int64)
     cols = [np.array([getattr(r, k) for _, r in plan], dtype=np.int64) for k in ("lo", "each", "bin", "offset", "phase")]
     schema = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
@@ -280,8 +282,11 @@ def place(items: DataFrame, capacity: int = CAPACITY, partitions: int = PARTITIO
     return ranked.mapInArrow(lean(look_up), schema)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: int = CAPACITY, partitions: int = PARTITIONS) -> DataFrame:
-    """Every document's pieces with their places in as few sequences of at most `capacity` tokens as the method finds."""
-    return place(pieces(docs, vocabulary, ranks, capacity), capacity, partitions)
+def pack_documents(docs: DataFrame, vocabulary: str, ranks: str | None = None, capacity: int = CAPACITY, window: Column | None = None) -> DataFrame:
+    """Every document's pieces with their places in as few sequences of at most `capacity` tokens as the method finds.
+
+    With window, a whole number from 0 on for each document, sequences follow its order, but for those of exchanged pieces.
+    """
+    return place(pieces(docs, vocabulary, ranks, capacity, window=window), capacity)
 
 
