@@ -9,7 +9,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skirmish.llm.common import checkpoint_folder, set_aside, table
@@ -21,10 +22,16 @@ SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
 PASSAGE_WORDS, PASSAGE_BYTES, ANCHOR_BYTES = 51, 250, 80
 #: Every source has the same target weight.
 SHARES = None
+#: Parts of the mixture that are packed by themselves, one after another.
+WINDOWS = 32
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is not rejected. lang is kept as it came: the model only decides who stays."""
+    """Documents whose language is not rejected. lang is kept as it came: the model only decides who stays.
+
+    A null text, or one without a letter, goes; each of repeated rows is judged alike. Without labelled rows to learn from,
+    all go, and an empty table stays empty. Long texts are read whole.
+    """
     from skirmish.llm.language import fit, identify
 
     docs, back = set_aside(docs, "doc_id", "text", "lang")
@@ -32,7 +39,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id, and of repeated rows one.
+
+    Null and empty texts are linked with nothing, so they stay; a null doc_id stays only if its group has no other.
+    """
     from skirmish.llm.neardup import unique_documents
 
     return unique_documents(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
@@ -40,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes that strings of PASSAGE_WORDS words or of PASSAGE_BYTES that occur again cover; n_chars
-    counts what is left."""
+    counts what is left. Null and empty texts stay as they are; repeated rows repeat each other, so their texts go."""
     from skirmish.llm.repeats import remove_repeats
 
     names = docs.columns
@@ -49,18 +59,34 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mixture."""
+    """All documents, in the order of the mixture. A null source is one of its own; null and empty texts count as one byte;
+    repeated rows all stay."""
     from skirmish.llm.mixing import mixed
 
     return mixed(docs, SHARES)
 
 
+def _window(docs: DataFrame) -> Column:
+    """Which of WINDOWS equal parts of the order of docs a document lies in; the mixture wrote its files in its order."""
+    try:
+        part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).try_cast("long")
+        last = docs.select(F.max(part)).first()[0]
+    except AnalysisException:  # not a table of files
+        last = None
+    if last is None:
+        part, last = F.spark_partition_id().cast("long"), docs.rdd.getNumPartitions() - 1
+    return F.call_function("div", F.coalesce(part, F.lit(0)) * min(WINDOWS, last + 1), F.lit(last + 1))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their places in token sequences."""
+    """The pieces of the documents with their places in token sequences, whose numbers follow the order of the mixture.
+
+    A null or empty text has the end token alone; repeated rows are documents of their own; a null doc_id stays null.
+    """
     from skirmish.llm.packing import pack_documents
     from skirmish.llm.queries import vocabulary
 
-    return pack_documents(docs.select("doc_id", "text"), *vocabulary()).drop("class")
+    return pack_documents(docs, *vocabulary(), window=_window(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
