@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from skirmish.llm.common import frame, hash_key, lean, numbered, set_aside
 
 BLOCK_BYTES = 1 << 18
+PART_BYTES = 1 << 25  # of a partition of mixed documents
 NONE = ""  # the source of documents without one
 
 
@@ -118,7 +119,7 @@ def mix_documents(docs: DataFrame, shares: dict[str, int] | None = None, block_b
     return scheduled(rows, shares, block_bytes)
 
 
-def mixed(docs: DataFrame, shares: dict[str, int] | None = None, block_bytes: int = BLOCK_BYTES, rows_per_part: int = 20_000) -> DataFrame:
+def mixed(docs: DataFrame, shares: dict[str, int] | None = None, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
     """docs itself, in the order of the mixture: partition after partition, each sorted by slot and place.
 
     Rows that are equal in all columns share a place. Only (source, size, hash) rows are numbered; texts are moved twice.
@@ -127,7 +128,7 @@ def mixed(docs: DataFrame, shares: dict[str, int] | None = None, block_bytes: in
     keyed = docs.select("*", *(c.alias(f"_{n}") for c, n in zip(hash_key(*(f"`{c}`" for c in docs.columns)), ("k1", "k2"), strict=True)))
     rows = keyed.select("_k1", "_k2", "source", (F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1).alias("size"))
     slots = scheduled(rows, shares, block_bytes).groupBy("_k1", "_k2").agg(F.min(F.struct("slot", "place")).alias("_at"))
-    top = slots.agg(F.max("_at.slot").alias("s"), F.count(F.lit(1)).alias("n")).first()
-    parts = max(1, -(-(top["n"] or 0) // rows_per_part))
-    part = F.call_function("div", F.col("_at.slot") * parts, F.lit((top["s"] or 0) + 1)).cast("int")
+    last = slots.agg(F.max("_at.slot")).first()[0] or 0
+    parts = max(1, -(-(last + 1) * block_bytes // part_bytes))
+    part = F.call_function("div", F.col("_at.slot") * parts, F.lit(last + 1)).cast("int")
     return keyed.join(slots, ["_k1", "_k2"]).repartitionById(parts, part).sortWithinPartitions("_at.slot", "_at.place").select(*back)
