@@ -63,8 +63,8 @@ base AS (
     CASE WHEN player_kills + player_assists > 0 THEN player_assists / (player_kills + player_assists) END AS assist_ratio,
     CASE WHEN player_survive_time > 0 THEN 60 * player_kills / player_survive_time END AS kills_per_minute,
     CASE WHEN player_survive_time > 0 THEN 60 * player_dmg / player_survive_time END AS damage_per_minute,
-    CASE WHEN player_survive_time > 0 THEN player_dist_walk / player_survive_time END AS walk_speed,
-    CASE WHEN player_survive_time > 0 THEN player_dist_ride / player_survive_time END AS ride_speed
+    CASE WHEN player_survive_time > 0 THEN player_dist_walk / player_survive_time END AS walk_velocity,
+    CASE WHEN player_survive_time > 0 THEN player_dist_ride / player_survive_time END AS ride_velocity
   FROM flags)
 """
 EV_SQL = """
@@ -200,9 +200,9 @@ def side(p: DataFrame, s: str) -> DataFrame:
 
 @query("""
 SELECT match_id, player_name, source_row, valid_survival, valid_placement, round(normalized_placement, 6) AS normalized_placement, round(damage_per_kill, 6) AS damage_per_kill, total_distance,
-  round(walk_ratio, 6) AS walk_ratio, round(assist_ratio, 6) AS assist_ratio, round(kills_per_minute, 6) AS kills_per_minute, round(walk_speed, 6) AS walk_speed FROM base""", "base")
+  round(walk_ratio, 6) AS walk_ratio, round(assist_ratio, 6) AS assist_ratio, round(kills_per_minute, 6) AS kills_per_minute, round(walk_velocity, 6) AS walk_velocity FROM base""", "base")
 def base_features(spark, sf_dir):
-    cols = ["match_id", "player_name", "source_row", "valid_survival", "valid_placement", "normalized_placement", "damage_per_kill", "total_distance", "walk_ratio", "assist_ratio", "kills_per_minute", "walk_speed"]
+    cols = ["match_id", "player_name", "source_row", "valid_survival", "valid_placement", "normalized_placement", "damage_per_kill", "total_distance", "walk_ratio", "assist_ratio", "kills_per_minute", "walk_velocity"]
     return rounded(base(spark, sf_dir).select(*cols))
 
 
@@ -343,10 +343,10 @@ def match_hash_split(spark, sf_dir):
     return pm(spark, sf_dir).select("match_id").distinct().groupBy(C.hash_split(F.col("match_id")).alias("split")).agg(F.count(F.lit(1)).alias("matches"))
 
 
-@query("SELECT c_custkey FROM customer ANTI JOIN (SELECT o_custkey AS c_custkey FROM orders) USING (c_custkey)", "")
+@query("SELECT match_id, count(*) AS n FROM pm WHERE match_id NOT IN (SELECT match_id FROM meta WHERE n_players > 3) GROUP BY 1", "meta")
 def orphan_antijoin(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("match_id"))
-    return X.orphans(customers, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("match_id"))).select("c_custkey")
+    p = pm(spark, sf_dir)
+    return X.orphans(p, C.match_metadata(p).where("n_players > 3")).groupBy("match_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -510,7 +510,7 @@ CORR_SQL = " UNION ALL ".join(
 
 @query(CORR_SQL, "base")
 def relationship_pearson(spark, sf_dir):
-    out = E.correlations(base(spark, sf_dir), {"player_survive_time": "valid_survival", "normalized_placement": "valid_placement"}, X.BASE)
+    out = E.correlations(base(spark, sf_dir), {"player_survive_time": "valid_survival", "normalized_placement": "valid_placement"}, X.BASE, ranks=False)
     return rounded(out.select("team_size_mode", "target", "feature", "n", "pearson"))
 
 
@@ -528,6 +528,41 @@ def relationship_spearman(spark, sf_dir):
     return rounded(out.select("team_size_mode", "target", "feature", "n", "spearman"))
 
 
+def timed(b: DataFrame) -> DataFrame:
+    """base with stand-ins for the timing features; TIMED_SQL is the same."""
+    c = F.col
+    return b.withColumns({
+        "first_kill_time": F.when(c("player_kills") > 0, c("player_survive_time") / 2), "avg_kill_time": F.when(c("player_kills") > 0, c("player_survive_time") / 2 + c("player_dbno")),
+        "has_kill": F.when(c("player_kills") > 0, 1).otherwise(0), "early_kills": c("player_dbno"), "mid_kills": c("player_assists"), "late_kills": c("player_kills") - c("player_dbno"),
+        "early_kill_ratio": c("walk_ratio"), "mid_kill_ratio": c("assist_ratio"), "late_kill_ratio": F.when(c("player_kills") > 0, c("player_dbno") / c("player_kills")),
+    })
+
+
+TIMED_SQL = """
+wide AS (SELECT *, CASE WHEN player_kills > 0 THEN player_survive_time / 2 END AS first_kill_time, CASE WHEN player_kills > 0 THEN player_survive_time / 2 + player_dbno END AS avg_kill_time,
+  CASE WHEN player_kills > 0 THEN 1 ELSE 0 END AS has_kill, player_dbno AS early_kills, player_assists AS mid_kills, player_kills - player_dbno AS late_kills, walk_ratio AS early_kill_ratio,
+  assist_ratio AS mid_kill_ratio, CASE WHEN player_kills > 0 THEN player_dbno / player_kills END AS late_kill_ratio FROM base)
+"""
+TABLE_SQL = f"""
+WITH {TIMED_SQL}, modes AS (SELECT 'Overall' AS mode UNION SELECT team_size_mode FROM wide),
+every AS (SELECT mode, w.* FROM (SELECT * FROM wide WHERE split <> 'test') w JOIN modes ON mode IN ('Overall', team_size_mode)),
+long AS ({" UNION ALL ".join(f"SELECT mode, '{t}' AS target, '{f}' AS feature, CAST({f} AS DOUBLE) AS x, {t} AS y FROM every WHERE {v} AND isfinite(CAST({f} AS DOUBLE)) AND isfinite({t})" for t, v in (("player_survive_time", "valid_survival"), ("normalized_placement", "valid_placement")) for f in X.TASKS["p2"])}),
+ranked AS (SELECT *, rank() OVER (PARTITION BY mode, target, feature ORDER BY x) + (count(*) OVER (PARTITION BY mode, target, feature, x) - 1) / 2.0 AS rx,
+  rank() OVER (PARTITION BY mode, target, feature ORDER BY y) + (count(*) OVER (PARTITION BY mode, target, feature, y) - 1) / 2.0 AS ry FROM long),
+found AS (SELECT mode, target, feature, count(*) AS n, CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END AS pearson, CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(rx, ry) END AS spearman FROM ranked GROUP BY 1, 2, 3),
+pairs AS (SELECT mode, target, feature FROM modes, (SELECT unnest(['player_survive_time', 'normalized_placement']) AS target), (SELECT unnest({X.TASKS["p2"]}) AS feature))
+SELECT mode, target, feature, coalesce(n, 0) AS n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, CASE WHEN n >= 3 AND spearman IS NOT NULL THEN 'ok' ELSE 'undefined' END AS status,
+  'train+validation' AS analysis_scope, NOT (target = 'player_survive_time' AND feature IN ({", ".join(f"'{f}'" for f in X.PHASE)})) AS "primary", 'pending' AS time_unit_status, 'dimensionless' AS coefficient_unit
+FROM pairs LEFT JOIN found USING (mode, target, feature)
+"""
+
+
+@query(TABLE_SQL, "base")
+def relationship_table(spark, sf_dir):
+    wide = timed(base(spark, sf_dir))
+    return rounded(E.relationships(wide, {"player_survive_time": "valid_survival", "normalized_placement": "valid_placement"}, X.TASKS["p2"], X.PHASE))
+
+
 DESCRIBED = ["player_kills", "player_dmg"]
 
 
@@ -538,6 +573,12 @@ def describe_summary(spark, sf_dir):
     return rounded(E.describe(pm(spark, sf_dir), DESCRIBED))
 
 
+@query("WITH long AS (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS v FROM pm WHERE {c} IS NOT NULL" for c in ("team_size_mode", "player_name", "split")) + """), c AS (SELECT "column", v, count(*) AS n FROM long GROUP BY 1, 2)
+SELECT "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS "unique", first(v ORDER BY n DESC, v) AS top, max(n) AS freq FROM c GROUP BY 1""")
+def describe_text(spark, sf_dir):
+    return E.describe_text(pm(spark, sf_dir), ["team_size_mode", "player_name", "split"])
+
+
 # Profiles
 
 
@@ -684,11 +725,11 @@ def residual_histogram20(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT *, actual - (SELECT avg(actual) FROM pred) AS y FROM pred), m AS (SELECT *, avg(y) OVER (PARTITION BY match_id) AS mean_ FROM c)
-SELECT match_id, count(*) AS n, round(min(mean_), 6) AS mean, round(sum((y - mean_) * (y - mean_)), 6) AS within, round(sum(abs(actual - predicted_a)), 6) AS abs_a, round(sum(abs(actual - predicted_b)), 6) AS abs_b,
-  round(sum((actual - predicted_a) * (actual - predicted_a)), 6) AS sq_a, round(sum((actual - predicted_b) * (actual - predicted_b)), 6) AS sq_b FROM m GROUP BY 1""", "pred")
+WITH c AS (SELECT *, actual - (SELECT min(actual) FROM pred) AS y FROM pred)
+SELECT match_id, count(*) AS n, round(sum(y), 6) AS total, round(sum(y * y), 6) AS squares, round(sum(abs(actual - predicted_b) - abs(actual - predicted_a)), 6) + CAST(0 AS DOUBLE) AS gained,
+  round(sum((actual - predicted_a) * (actual - predicted_a)), 6) AS reference, round(sum((actual - predicted_b) * (actual - predicted_b)), 6) AS candidate FROM c GROUP BY 1""", "pred")
 def bootstrap_state(spark, sf_dir):
-    return rounded(V.bootstrap_state(predicted(spark, sf_dir)))
+    return rounded(V.bootstrap_state(predicted(spark, sf_dir))).withColumn("gained", F.col("gained") + F.lit(0.0))
 
 
 @query("", "pred")

@@ -90,35 +90,35 @@ def deltas(pairs: DataFrame, placement: bool = True) -> DataFrame:
 
 
 def bootstrap_state(pairs: DataFrame) -> DataFrame:
-    """One row per match: size, mean less a common anchor, squares within, and sums of absolute and squared errors."""
-    anchor = pairs.agg(F.avg("actual").alias("m")).first()["m"] or 0.0
-    centred = pairs.withColumn("_y", F.col("actual") - F.lit(anchor))
-    means = centred.groupBy("match_id").agg(F.avg("_y").alias("_m"))
-    ea, eb, y = F.col("actual") - F.col("predicted_a"), F.col("actual") - F.col("predicted_b"), F.col("_y") - F.col("_m")
-    return centred.join(means, "match_id").groupBy("match_id").agg(
-        F.count(F.lit(1)).alias("n"), F.first("_m").alias("mean"), F.sum(y * y).alias("within"), F.sum(F.abs(ea)).alias("abs_a"), F.sum(F.abs(eb)).alias("abs_b"), F.sum(ea * ea).alias("sq_a"), F.sum(eb * eb).alias("sq_b")
-    )
+    """One row per match of what any resample of matches can be scored from: rows, sum and squares of the actual values less
+    the least of all, the difference of the absolute errors, and the squared errors of both sides. One aggregation."""
+    least = pairs.agg(F.min("actual").alias("m")).first()["m"]
+    y, ea, eb = F.col("actual") - F.lit(least), F.col("actual") - F.col("predicted_a"), F.col("actual") - F.col("predicted_b")
+    return pairs.groupBy("match_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(y).alias("total"), F.sum(y * y).alias("squares"), F.sum(F.abs(eb) - F.abs(ea)).alias("gained"), F.sum(ea * ea).alias("reference"), F.sum(eb * eb).alias("candidate"))
 
 
 def bootstrap(pairs: DataFrame, replicates: int = 200, seed: int = 42) -> DataFrame:
-    """(metric, lower, upper): 95 % percentile intervals of the deltas under resampling of whole matches.
+    """(metric, lower, upper, valid_replicates, replicates, seed, level): 95 % percentile intervals of the deltas under
+    resampling of whole matches. A replicate whose actual values are all equal has no r2.
 
-    The driver holds one narrow row per match, as the reference result needs its generator's order; matches are sorted by id.
+    The driver holds six numbers per match, as the result follows one generator's draws over all matches, sorted by id.
     """
     if replicates < 20:
         raise ValueError("at least 20 replicates are needed")
-    s = bootstrap_state(pairs).orderBy("match_id").toPandas()
-    v = {c: s[c].to_numpy(dtype=float) for c in s.columns if c != "match_id"}
-    rng, out = np.random.default_rng(seed), []
-    for _ in range(replicates):
-        w = np.bincount(rng.integers(0, len(s), len(s)), minlength=len(s)).astype(float)
-        n = (w * v["n"]).sum()
-        grand = (w * v["n"] * v["mean"]).sum() / n
-        total = (w * (v["within"] + v["n"] * (v["mean"] - grand) ** 2)).sum()
-        sa, sb = (w * v["sq_a"]).sum(), (w * v["sq_b"]).sum()
-        out.append(((w * v["abs_b"]).sum() / n - (w * v["abs_a"]).sum() / n, np.sqrt(sb / n) - np.sqrt(sa / n), (sa - sb) / total if total > 0 else np.nan))
-    q = np.nanquantile(np.array(out), [0.025, 0.975], axis=0)
-    return pairs.sparkSession.createDataFrame([(m, float(a), float(b)) for m, a, b in zip(METRICS, *q, strict=True)], "metric string, lower double, upper double")
+    s = bootstrap_state(pairs).orderBy("match_id").toPandas().drop(columns="match_id").to_numpy(dtype=float)
+    rng, out = np.random.default_rng(seed), np.full((replicates, len(METRICS)), np.nan)
+    for i in range(replicates if len(s) else 0):
+        drawn = np.bincount(rng.integers(0, len(s), len(s)), minlength=len(s))
+        n, total, squares, gained, a, b = drawn @ s
+        spread = squares - total * total / n
+        out[i] = gained / n, np.sqrt(b / n) - np.sqrt(a / n), (a - b) / spread if spread > 1e-12 * squares else np.nan
+    rows = []
+    for name, x in zip(METRICS, out.T, strict=True):
+        x = x[np.isfinite(x)]
+        ends = np.quantile(x, [0.025, 0.975]).tolist() if len(x) else [None, None]
+        rows.append((name, *ends, len(x), replicates, seed, "match"))
+    return pairs.sparkSession.createDataFrame(rows, "metric string, lower double, upper double, valid_replicates int, replicates int, seed int, level string")
 
 
 def region(edges: list[float]) -> Column:

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from skirmish.functions.stats import finite, guarded, number_of
 
 # The feature registry.
-BASE = ["player_kills", "player_dmg", "player_assists", "player_dbno", "player_dist_walk", "player_dist_ride", "damage_per_kill", "total_distance", "walk_ratio", "assist_ratio"]
+BASE = ["player_kills", "player_dmg", "damage_per_kill", "player_dist_walk", "player_dist_ride", "total_distance", "walk_ratio", "player_assists", "player_dbno", "assist_ratio"]
 ABSOLUTE = ["first_kill_time", "avg_kill_time", "has_kill"]
 PHASE = ["early_kills", "mid_kills", "late_kills", "early_kill_ratio", "mid_kill_ratio", "late_kill_ratio"]
 TASKS = {"s1": BASE + ABSOLUTE, "p2": BASE + ABSOLUTE + PHASE, "t0": BASE}
 TARGETS = {"s1": "player_survive_time", "p2": "normalized_placement", "t0": "normalized_placement"}
-LEAKING = {"s1": ["player_survive_time", "team_placement", "normalized_placement", "kills_per_minute", "damage_per_minute", "walk_speed", "ride_speed", *PHASE], "p2": ["team_placement", "normalized_placement"], "t0": ["team_placement", "normalized_placement", *ABSOLUTE, *PHASE]}
+LEAKING = {"s1": ["player_survive_time", "team_placement", "normalized_placement", "kills_per_minute", "damage_per_minute", "walk_velocity", "ride_velocity", *PHASE], "p2": ["team_placement", "normalized_placement"], "t0": ["team_placement", "normalized_placement", *ABSOLUTE, *PHASE]}
 MEANING = {
     "damage_per_kill": "player_dmg / player_kills", "total_distance": "player_dist_walk + player_dist_ride", "walk_ratio": "player_dist_walk / total_distance",
     "assist_ratio": "player_assists / (player_kills + player_assists)", "kills_per_minute": "60 * player_kills / player_survive_time", "damage_per_minute": "60 * player_dmg / player_survive_time",
-    "walk_speed": "player_dist_walk / player_survive_time", "ride_speed": "player_dist_ride / player_survive_time", "normalized_placement": "1 - (team_placement - 1) / (n_teams - 1)",
+    "walk_velocity": "player_dist_walk / player_survive_time", "ride_velocity": "player_dist_ride / player_survive_time", "normalized_placement": "1 - (team_placement - 1) / (n_teams - 1)",
 }
 
 
@@ -34,7 +34,7 @@ def base_features(rows: DataFrame, metadata: DataFrame) -> DataFrame:
         "normalized_placement": F.when(c("valid_placement"), 1 - (c("team_placement") - 1) / F.nullif(c("n_teams") - 1, F.lit(0))),
         "damage_per_kill": guarded(c("player_dmg"), kills), "total_distance": total, "walk_ratio": guarded(walk, total),
         "assist_ratio": guarded(c("player_assists"), kills + c("player_assists")), "kills_per_minute": guarded(60 * kills, t), "damage_per_minute": guarded(60 * c("player_dmg"), t),
-        "walk_speed": guarded(walk, t), "ride_speed": guarded(ride, t),
+        "walk_velocity": guarded(walk, t), "ride_velocity": guarded(ride, t),
     })
 
 

@@ -105,6 +105,10 @@ class Linear:
     def to_json(self) -> dict:
         return asdict(self)
 
+    @classmethod
+    def from_json(cls, told: dict) -> Linear:
+        return cls(**{**told, "inputs": Inputs(**told["inputs"])})
+
 
 def least_squares(x: DataFrame, width: int) -> tuple[np.ndarray, float, int, int]:
     """(coefficients, intercept, rank, rows) of the last column on the others: centred, by a tall-skinny QR and an SVD of its

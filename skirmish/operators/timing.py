@@ -58,6 +58,19 @@ def with_timing(base: DataFrame, times: DataFrame) -> DataFrame:
     return out.drop(*(x for x in out.columns if x.startswith("_")))
 
 
+def time_unit(told: dict) -> dict:
+    """What is known of the source's time unit: accepted when it is verified by evidence, or when seconds are assumed, with
+    evidence, for exactly the source and version that the approval names. An assumption is never called verified."""
+    status, evidence = told.get("status", "pending"), (told.get("evidence") or "").strip()
+    if status not in ("pending", "verified", "assumed_seconds"):
+        raise ValueError(f"unknown status of the time unit: {status}")
+    source = f"{told.get('dataset')}/versions/{told.get('version')}"
+    assumed = status == "assumed_seconds"
+    approved = assumed and told.get("approved") is True and told.get("version") is not None and told.get("scope") == source
+    accepted = bool(evidence) and (status == "verified" or approved)
+    return {"status": status, "accepted": accepted, "verified": accepted and status == "verified", "unit": "unknown" if status == "pending" else "seconds", "evidence": evidence, "source": source}
+
+
 def coverage(joined: DataFrame, by: str = "team_size_mode") -> DataFrame:
     """Rows and their share by mode and timing status."""
     from pyspark.sql import Window

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -39,3 +40,21 @@ def share_code(spark: SparkSession) -> SparkSession:
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     return spark
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Where that is unset, one is made if the executors are
+    threads of this process, as in tests; on a cluster it is an error, as executors would not see it."""
+    sc = share_code(spark).sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        told = spark.conf.get("spark.checkpoint.dir", None)
+        if told is None and not sc._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="skirmish-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df, written once to the checkpoint folder; a lost executor costs only a re-read."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

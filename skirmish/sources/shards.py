@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import glob as globbing
+import os
 from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,22 +30,38 @@ def discover(*patterns: str) -> list[str]:
     return found
 
 
+def root(*patterns: str) -> str:
+    """The folder that source files are named from: what precedes the wildcards of all patterns."""
+    fixed = []
+    for p in patterns:
+        parts = Path(p).parts
+        wild = next((i for i, x in enumerate(parts) if any(c in x for c in "*?[")), len(parts) - 1)
+        fixed.append(str(Path(*parts[:wild]).resolve()))
+    return os.path.commonpath(fixed)
+
+
 def header(spark: SparkSession, path: str) -> list[str]:
     """The column names of a CSV shard, from its first line."""
     return [f.name for f in spark.read.option("header", True).csv(path).limit(0).schema]
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """One CSV shard with every column as text, and its lineage: source_file and the 0-based source_row.
+def read_csv(spark: SparkSession, path: str, named: str | None = None) -> DataFrame:
+    """One CSV shard with every column as text, and its lineage: source_file (named, or else the file's name) and the 0-based
+    source_row.
 
-    Rows are numbered by partition and place, with offsets from one count per partition, so a shard may be split for reading.
+    A shard is split for reading, unless a value of it goes over several lines, which one look at its quotes tells. Rows are
+    numbered by block and place: ids ascend within a block, and what precedes a block is a sum over one count per block.
     """
     names = header(spark, path)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    rows = spark.read.schema(schema).options(header=True, multiLine=True, escape='"').csv(path)
-    numbered = rows.rdd.zipWithIndex().map(lambda r: (*r[0], r[1]))  # order within a file is only known to the reader
-    out = spark.createDataFrame(numbered, T.StructType([*schema.fields, T.StructField("source_row", T.LongType())]))
-    return out.withColumn("source_file", F.lit(Path(path).name))
+    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+    many = not spark.read.text(path).where(odd).isEmpty()
+    rows = spark.read.schema(schema).options(header=True, multiLine=many, escape='"').csv(path)
+    placed = rows.select("*", F.col("_metadata.file_block_start").alias(" block"), F.monotonically_increasing_id().alias(" id"))
+    blocks = placed.groupBy(" block").agg(F.min(" id").alias(" first"), F.count(F.lit(1)).alias(" n"))
+    before = F.coalesce(F.sum(" n").over(Window.orderBy(" block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = placed.join(F.broadcast(blocks.select(" block", " first", before.alias(" before"))), " block")
+    return out.select(*(f"`{n}`" for n in names), (F.col(" before") + F.col(" id") - F.col(" first")).alias("source_row"), F.lit(named or Path(path).name).alias("source_file"))
 
 
 def renamed(rows: DataFrame, group: str) -> DataFrame:
@@ -81,10 +98,14 @@ def quality(column: str) -> list[Column]:
 
 
 def parse_report(rows: DataFrame, group: str) -> DataFrame:
-    """(column, missing, parse_errors, non_integers) of each numeric column, from one scan."""
-    numeric = [c for c in REQUIRED[group] if c not in TEXT]
-    long = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("t")) for c in numeric))).alias("p")).select("p.*")
-    return long.groupBy("column").agg(*quality("t"))
+    """(source_file, column, original_missing, parse_error, non_integer, rows) of each required column of coerced rows, from
+    one scan. Text has no parse errors, and only counts must be whole."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"raw_{c}").alias("t"), F.lit(c not in TEXT).alias("number"), F.lit(c in COUNTS).alias("whole")) for c in REQUIRED[group]))
+    long = rows.select("source_file", F.explode(pairs).alias("p")).select("source_file", "p.*")
+    text, value = blank_to_null(F.col("t")), to_number(F.col("t"))
+    return long.groupBy("source_file", "column").agg(
+        number_of(text.isNull()).alias("original_missing"), number_of(F.col("number") & text.isNotNull() & value.isNull()).alias("parse_error"),
+        number_of(F.col("whole") & (value % 1 != 0)).alias("non_integer"), F.count(F.lit(1)).alias("rows"))
 
 
 def inventory(rows: DataFrame) -> DataFrame:
@@ -92,7 +113,18 @@ def inventory(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def sources(*patterns: str) -> dict[str, str]:
+    """The path of each shard by its name from the root, so that equal file names of several folders stay apart."""
+    top = root(*patterns)
+    return {Path(os.path.relpath(p, top)).as_posix(): p for p in discover(*patterns)}
+
+
+def schema_report(spark: SparkSession, group: str, *patterns: str) -> list[dict]:
+    """The source column and the canonical column of every shard."""
+    return [{"group": group, "file": n, "source_column": c, "canonical_column": ALIASES[group].get(c, c)} for n, p in sources(*patterns).items() for c in header(spark, p)]
+
+
 def ingest(spark: SparkSession, group: str, *patterns: str) -> DataFrame:
     """All shards of a group, coerced and merged by name; columns that a shard lacks are null there."""
-    shards = [coerced(renamed(read_csv(spark, p), group), group) for p in discover(*patterns)]
+    shards = [coerced(renamed(read_csv(spark, p, n), group), group) for n, p in sources(*patterns).items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shards)

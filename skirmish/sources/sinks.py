@@ -36,21 +36,32 @@ def write_csv(rows: DataFrame, path: str, small: bool = True) -> None:
 
 def publish(path: str, data: bytes) -> str:
     """Write a file beside its place, check it, and move it there; a failure leaves what was there. Returns the checksum."""
-    target, staged = Path(path), Path(f"{path}.{os.getpid()}.staged")
+    target, staged, before = Path(path), Path(f"{path}.{os.getpid()}.staged"), Path(f"{path}.{os.getpid()}.before")
     target.parent.mkdir(parents=True, exist_ok=True)
     want = hashlib.sha256(data).hexdigest()
     try:
         staged.write_bytes(data)
         if checksum(staged) != want:
             raise OSError(f"{staged} differs from what was written")
+        if target.exists():
+            shutil.copy2(target, before)
         os.replace(staged, target)
+        if checksum(target) != want:
+            target.unlink()
+            if before.exists():
+                os.replace(before, target)
+            raise OSError(f"{target} differs from what was written")
     finally:
         staged.unlink(missing_ok=True)
-    if checksum(target) != want:
-        raise OSError(f"{target} differs from what was written")
+        before.unlink(missing_ok=True)
     return want
 
 
+def artifacts(folder: str) -> dict[str, dict]:
+    """Size and checksum of every file below a folder, by its name from there."""
+    return {p.relative_to(folder).as_posix(): {"bytes": p.stat().st_size, "sha256": checksum(p)} for p in sorted(Path(folder).rglob("*")) if p.is_file()}
+
+
 def checksum(path: Path) -> str:
     h = hashlib.sha256()
     with open(path, "rb") as f:

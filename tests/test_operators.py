@@ -218,3 +218,17 @@ def test_shards(spark, tmp_path):
         shards.ingest(spark, "event", str(tmp_path / "c.csv"))
     with pytest.raises(FileNotFoundError):
         shards.discover(str(tmp_path / "none*"))
+
+
+def test_rows_of_a_split_shard_are_numbered_in_order(spark, tmp_path):
+    for folder in "ab":
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.csv").write_text("match_id,killer_name,victim_name,time\n" + "".join(f"m{i},k,v,{i}\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = shards.ingest(spark, "event", str(tmp_path / "*" / "x.csv"))
+        assert rows.where("match_id = concat('m', source_row) AND event_time = source_row").count() == 6000
+        assert sorted(r[0] for r in rows.select("source_file").distinct().collect()) == ["a/x.csv", "b/x.csv"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
