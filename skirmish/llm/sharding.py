@@ -1,20 +1,22 @@
 """K-d tree sharding: nodes split at weighted medians along their widest metadata dimension.
 
 Each cut is found by narrowing an interval: every pass counts bytes in at most BINS intervals of each node, on the
-executors, and the driver sees those sums only. A cut is a point in the order (dimension, text checksum, document, row), so
-that ties in a dimension are divided too and equal texts part only where a cut has to pass through them.
+executors, and the driver sees those sums only. A cut is a point in the order (dimension, ties, row), so that ties in a
+dimension are divided too.
 """
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import checkpoint, numbered
+from skirmish.llm.common import checkpoint, hash_key, numbered
 
 BINS = 1024
+WHOLE = 0.002  # of a shard's bytes: groups of equal texts up to that are not divided
 
 
 @dataclass
@@ -130,16 +132,40 @@ def kd_shards(rows: DataFrame, dims: list[str], weight: str, leaves: int | None
     return base.withColumn("shard", number(sorted(done, key=lambda n: n.path))).drop("_row")
 
 
-def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
+def _codes(rows: DataFrame, *columns: str) -> dict[str, Column]:
+    """Whole numbers in the order of text columns: six bytes after what all values begin with. A null comes first."""
+    ends = rows.agg(*(f(c).alias(f"{k}_{c}") for c in columns for k, f in (("lo", F.min), ("hi", F.max)))).first()
+    out = {}
+    for c in columns:
+        same = os.path.commonprefix([(ends[f"{k}_{c}"] or "").encode() for k in ("lo", "hi")])
+        part = F.hex(F.substring(F.col(c).cast("binary"), len(same) + 1, 6))
+        out[c] = F.coalesce(F.conv(F.rpad(part, 12, "0"), 16, 10).cast("long"), F.lit(-1))
+    return out
+
+
+def shard_documents(docs: DataFrame, shards: int = 8, whole: float = WHOLE) -> DataFrame:
     """Every document with its shard by equal bytes, and its place in the shard.
 
-    A null text has no bytes and counts as size 1; a null doc_id sorts first; repeated rows are divided like any others.
+    The dimensions are metadata: doc_id, source, lang and size. Documents with equal texts have the least of their metadata
+    and neighbour each other, so each of the shards - 1 cuts passes through one such group at most; and a group whose bytes
+    are no more than the part `whole` of a shard's isn't divided, which shards' sizes may then differ by. A null text has
+    no bytes and counts as size 1; null metadata sorts first; repeated rows are documents with equal texts. Long texts are
+    one row like others. An empty table has no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        F.col("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.length(text).cast("long").alias("_chars"), F.coalesce("doc_id", F.lit(-(1 << 62))).cast("long").alias("_doc"),
-    )
-    sharded = kd_shards(rows, ["size", "_chars", "text_crc32"], "size", leaves=shards, ties=("text_crc32", "_doc"))
-    placed = numbered(sharded.select("doc_id", "size", "text_crc32", "shard"), "shard", rank="slot")
+    k1, k2 = hash_key(text)
+    codes = _codes(docs, "lang", "source")
+    rows = checkpoint(docs.select(
+        F.col("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), k1, k2,
+        F.coalesce("doc_id", F.lit(-(1 << 61))).cast("long").alias("_doc"), *(x.alias(f"_{c}") for c, x in codes.items()), F.monotonically_increasing_id().alias("_at")))
+    share = max(1, (rows.agg(F.sum("size")).first()[0] or 0) // shards)
+    named = ("_doc", "_lang", "_source")
+    heavy = rows.groupBy("k1", "k2").agg(F.sum("size").alias("w"), *(F.min(c).alias(f"{c}_of") for c in named)).where(F.col("w") > whole * share).drop("w")
+    dealt = rows.join(F.broadcast(heavy), ["k1", "k2"], "left")  # fewer than (shards + 1) / whole groups
+    dealt = dealt.withColumn("_piece", F.when(F.col("_doc_of").isNotNull(), F.col("_at")).otherwise(0)).withColumns({c: F.coalesce(f"{c}_of", c) for c in named})
+    unit = ["k1", "k2", "_piece"]
+    units = dealt.groupBy(*unit).agg(F.sum("size").alias("weight"), *(F.min(c).alias(c) for c in ("size", *named)))
+    units = units.withColumn("_text", F.shiftrightunsigned("k1", 2))
+    sharded = kd_shards(units, ["_doc", "_source", "_lang", "size"], "weight", leaves=shards, ties=("_text", "_piece"))
+    placed = numbered(dealt.join(sharded.select(*unit, "shard"), unit).select("doc_id", "size", "text_crc32", "shard"), "shard", rank="slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
