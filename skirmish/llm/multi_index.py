@@ -24,7 +24,7 @@ from skirmish.session import share_code
 
 CENTROIDS = 48  # of each half; at most 63
 SAMPLE = 20_000  # the most vectors that codebooks are fitted on
-SHARE, LEAST = 0.55, 1000  # a query visits cells until they hold this share of the entries, and so many
+SHARE = 0.55  # a query visits cells until they hold this share of the entries
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 15, seed: int = 5) -> np.ndarray:
@@ -66,7 +66,7 @@ def inner_in_order(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.add.accumulate(x * q, axis=1)[:, -1]
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, centroids: int = CENTROIDS, share: float = SHARE, least: int = LEAST, sample: int = SAMPLE) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, centroids: int = CENTROIDS, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k entries found with the largest inner product for each query.
 
     rows and queries: (vec_id, embedding). Vectors that are null, zero, or hold null or non-finite components take no part,
@@ -92,7 +92,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, centroids: int = C
     held = np.zeros((len(books[0]), len(books[1])), np.int64)
     for r in index.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n")).collect():
         held[r["grp"], r["cell"]] = r["n"]
-    wanted = max(least, int(np.ceil(share * held.sum())))
+    wanted = max(k + 1, int(np.ceil(share * held.sum())))
     routed = T.StructType([T.StructField("grp", T.IntegerType()), T.StructField("cells", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

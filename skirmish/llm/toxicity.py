@@ -3,8 +3,8 @@
 Categories are predicted one after another by linear models; each model sees the words of the text and the probabilities of
 the categories before it. In training those probabilities are out-of-fold, so that a later model learns from predictions as
 unsure as it will meet. The last link is toxicity as such, learned from the labels. The categories before it have no labels
-of their own: a text labelled toxic counts as of a category when it holds one of the category's seed words, and a category
-with too few such texts is left out of the chain.
+of their own: a text labelled toxic counts as of a category when it holds one of the category's seed words. All categories
+are in the chain; one that no labelled text is of has probabilities near 0.
 
 Features are words and word beginnings that are significantly commoner in toxic than in other labelled texts; beginnings
 catch inflected forms that training never met. Training takes a bounded sample of
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +28,7 @@ from skirmish.llm.common import frame, lean, slices
 from skirmish.session import share_code
 
 SAMPLE = 8_000  # the most labelled documents that training takes
-WORDS, SIGNIFICANT = 300, 12.0  # the most feature words, and the least log-likelihood ratio of one
-FOLDS, FEWEST = 5, 20  # folds of out-of-fold predictions; texts that a category needs
+FOLDS = 5  # of out-of-fold predictions
 # Seed words of the categories.
 SEEDS = {
     "insult": "idiot moron stupid clown fool dumb imbecile dimwit loser pathetic",
@@ -67,7 +66,7 @@ class Link:
 
 @dataclass
 class Chain:
-    words: list[str]
+    words: list[str]  # a feature each
     links: list[Link]
     threshold: float = 0.5
 
@@ -94,20 +93,39 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5) -> tuple[np.nda
     """Penalised logistic regression by Newton steps."""
     full = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(full.shape[1])
+    if not y.any():  # nothing to tell from: never
+        return w[:-1], -500.0
     ridge = np.append(np.full(x.shape[1], penalty), 1e-6)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(full @ w, -500, 500)))
         s = np.maximum(p * (1 - p), 1e-6)
-        step = np.linalg.solve((full * s[:, None]).T @ full + np.diag(ridge), full.T @ (y - p) - ridge * w)
+        step = _solved(lambda v, s=s: full.T @ (s * (full @ v)) + ridge * v, full.T @ (y - p) - ridge * w, (full * full).T @ s + ridge)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
     return w[:-1], float(w[-1])
 
 
-def significant(texts: list[str | None], y: np.ndarray, most: int = WORDS, least: float = SIGNIFICANT) -> list[str]:
-    """Features commoner in texts with y = 1, by their log-likelihood ratio, best first. Only features of those texts are
-    counted, and texts are read one by one, so that memory stays bounded by them."""
+def _solved(product: Callable[[np.ndarray], np.ndarray], b: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """The solution of a positive definite system, by preconditioned conjugate gradients: no matrix of its size is made."""
+    v, r = np.zeros(len(b)), b.copy()
+    z = r / diagonal
+    d, rz = z.copy(), r @ z
+    for _ in range(2 * len(b)):
+        if np.abs(r).max(initial=0) < 1e-10:
+            break
+        q = product(d)
+        a = rz / (d @ q)
+        v, r = v + a * d, r - a * q
+        z = r / diagonal
+        d, rz = z + (r @ z) / rz * d, r @ z
+    return v
+
+
+def significant(texts: list[str | None], y: np.ndarray) -> list[str]:
+    """Features commoner in texts with y = 1, by their log-likelihood ratio, best first. The least ratio follows from how many
+    features are tried, so that about one is there by chance, however many texts there are. Only features of texts with y = 1
+    are counted, and texts are read one by one, so that memory stays bounded by them."""
     pos, neg = Counter(), Counter()
     for t, v in zip(texts, y, strict=True):
         if v:
@@ -116,6 +134,7 @@ def significant(texts: list[str | None], y: np.ndarray, most: int = WORDS, least
     for t, v in zip(texts, y, strict=True):
         if not v:
             neg.update(pos.keys() & features_of(t))
+    least = 2 * np.log(max(2, len(pos)))
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     scored = []
     for w, a in pos.items():
@@ -123,7 +142,7 @@ def significant(texts: list[str | None], y: np.ndarray, most: int = WORDS, least
         e1, e0 = (a + b) * n1 / (n1 + n0), (a + b) * n0 / (n1 + n0)
         if a > e1 and (g := 2 * (a * np.log(a / e1) + (b * np.log(b / e0) if b else 0))) >= least:
             scored.append((-g, w))
-    return [w for _, w in sorted(scored)[:most]]
+    return [w for _, w in sorted(scored)]
 
 
 def train(texts: list[str | None], toxic: np.ndarray, seed: int = 3) -> Chain:
@@ -140,8 +159,6 @@ def train(texts: list[str | None], toxic: np.ndarray, seed: int = 3) -> Chain:
     held = [words_of(t) & every if v else set() for t, v in zip(texts, y, strict=True)]
     for category in CATEGORIES:
         target = y if category == "toxic" else np.array([bool(s & seeds[category]) for s in held], dtype=float)
-        if category != "toxic" and target.sum() < FEWEST:
-            continue
         full = np.column_stack([x, earlier])
         unseen = np.full(len(y), target.mean())
         for k in range(FOLDS):
@@ -167,8 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
 
 
 def judge(docs: DataFrame, chain: Chain) -> DataFrame:
-    """(doc_id, toxic, score, p_<category>...) of every row. A null or empty text isn't toxic; a category that was left out
-    of the chain has a null probability."""
+    """(doc_id, toxic, score, p_<category>...) of every row. A null or empty text isn't toxic; repeated rows are judged alike,
+    and long texts whole. Where nothing could be learned, categories have a null probability."""
     share_code(docs.sparkSession)
     middle = [T.StructField(f"p_{c}", T.DoubleType()) for c in CATEGORIES[:-1]]
     schema = T.StructType([docs.schema["doc_id"], T.StructField("toxic", T.BooleanType()), T.StructField("score", T.DoubleType()), *middle])

@@ -263,7 +263,7 @@ def test_exact_top_k(vectors):
 def test_multi_index_recall_and_scores(vectors):
     df, rows = vectors
     data = table_of(rows, False)
-    got = multi_index.nearest(df, df.where(F.col("vec_id") % 20 == 0), 20, centroids=8, least=100).collect()
+    got = multi_index.nearest(df, df.where(F.col("vec_id") % 20 == 0), 20, centroids=8).collect()
     found = {}
     for r in got:
         found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
