@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,16 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skirmish.session import share_code
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written once to the checkpoint folder that all executors share; a lost executor costs only a re-read.
-
-    The folder is the session's spark.checkpoint.dir. Only where that is unset, as in tests, one is made.
-    """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+from skirmish.session import checkpoint, checkpoint_folder, share_code
 
 
 def spread(df: DataFrame, parts: int) -> DataFrame:
@@ -185,9 +175,26 @@ def sieve(rows: DataFrame, wanted: DataFrame, key: str = "k1") -> DataFrame:
     return sifted(rows, wanted, key).where("_may").drop("_may")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df, written once as a Parquet table beside the checkpoints; for tables that a checkpoint would keep uncompressed."""
-    folder = checkpoint_folder(df.sparkSession)
-    path = f"{folder}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+class Stored:
+    """Parquet tables beside the checkpoints, for what a checkpoint would keep uncompressed; they go when the block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Stored:
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.paths.append(f"{checkpoint_folder(self.spark)}/{uuid.uuid4().hex}.parquet")
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            discard(self.spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table, wherever it is stored."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -28,6 +28,8 @@ BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
 #: The most labelled documents of a language in the training sample.
 SAMPLE_PER_LANGUAGE = 2_000
+#: The most characters of a training text that the driver gets: descent takes passages of at most 400 bytes from them.
+SAMPLE_CHARS = 1 << 14
 #: The share of correct calibration documents that rejection may cost; the probability that is never rejected, and the
 #: multiple of chance beyond which none is: texts in two languages at once are unsure, but not foreign.
 REJECTED_SHARE, NEVER_REJECTED, CHANCE = 0.001, 0.5, 1.45
@@ -201,7 +203,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """A model from at most about per_language labelled documents of each language, chosen by a hash of their texts."""
+    """A model from at most about per_language labelled documents of each language, chosen by a hash of doc_id and length; of long
+    ones a part of SAMPLE_CHARS characters, begun by hash. What the driver gets is bounded in rows and in characters."""
     share_code(docs.sparkSession)
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -211,7 +214,9 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     share = F.lit(0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(grain, -(-grain * per_language // n)))).otherwise(share)
-    some = labelled.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(grain)) < share).select("doc_id", "lang", "text")
+    at = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1)  # where a long text's part begins
+    part = F.substring("text", at.cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("text")
+    some = labelled.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(grain)) < share).select("doc_id", "lang", part)
     rows = some.limit(2 * per_language * len(counts)).toPandas()
     rows = rows[rows["text"].str.len() > 0].sort_values(["doc_id", "lang", "text"])
     return train(rows["text"].tolist(), rows["lang"].tolist())

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skirmish.llm.bwt import repeated_starts
-from skirmish.llm.common import checkpoint, chunks, frame, hash_key, lean, mix64, set_aside, sieve, sifted, stored, utf8
+from skirmish.llm.common import Stored, checkpoint, chunks, frame, hash_key, lean, mix64, set_aside, sieve, sifted, utf8
 from skirmish.llm.shingles import prefix_hash, span_hash, word_edges
 from skirmish.session import share_code
 
@@ -277,6 +277,11 @@ def _passage_places(docs: DataFrame, words: int, least: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, gram: int = GRAM, sections: int = SECTIONS, words: int | None = None) -> DataFrame:
     """(k1, k2, spans) for each text with bytes to remove; k1, k2: its hashes (null as empty), spans: (lo, hi) in bytes."""
+    with Stored(docs.sparkSession) as stored:
+        return checkpoint(_repeated_spans(docs, least, gram, sections, words, stored))
+
+
+def _repeated_spans(docs: DataFrame, least: int, gram: int, sections: int, words: int | None, stored: Stored) -> DataFrame:
     share_code(docs.sparkSession)
     parts_of = lambda n: max(1, -(-n // ROWS))
     k1, k2 = hash_key(F.coalesce("text", F.lit("")))
@@ -350,7 +355,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, words:
     added = [T.StructField("_bytes", _L), T.StructField("_removed", _L), T.StructField("_spans", SPANS), T.StructField("_sha256", T.StringType())]
     docs, back = set_aside(docs.drop(*(f.name for f in added)), "doc_id", "text")
     names = docs.columns
-    spans = checkpoint(repeated_spans(docs, least, gram, words=words).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "spans"))
+    spans = repeated_spans(docs, least, gram, words=words).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "spans")
     k1, k2 = hash_key(F.coalesce("text", F.lit("")))
     marked = sifted(docs.select(*names, k1.alias("_k1"), k2.alias("_k2")), spans, "_k1")
     whole = marked.where("NOT _may").select(*names, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))  # not shuffled
