@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.llm.common import checkpoint_folder, set_aside, table
+from skirmish.llm.common import checkpoint_folder, discard, set_aside, table
 
 #: Near-duplicates share four fifths of their shingles of five words.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -100,7 +100,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    last = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            discard(spark, last)  # what a stage read isn't needed once it has written
+        last = f"{folder}/{name}"
     return docs
