@@ -583,10 +583,11 @@ def describe_text(spark, sf_dir):
 
 
 PROFILE_SQL = """
-WITH wide AS (SELECT *, 'phase_observed' AS timing_status, player_dbno AS early_kills, walk_ratio AS early_kill_ratio FROM base WHERE player_name IS NOT NULL),
+WITH wide AS (SELECT *, CASE WHEN player_kills = 0 THEN 'confirmed_no_kill' WHEN source_row % 5 = 0 THEN 'event_missing' WHEN source_row % 5 = 1 THEN 'absolute_only' ELSE 'phase_observed' END AS timing_status,
+  player_dbno AS early_kills, walk_ratio AS early_kill_ratio FROM base WHERE player_name IS NOT NULL),
 prof AS (
-  SELECT player_name, team_size_mode, count(*) AS games, count(*) FILTER (WHERE player_kills > 0) AS phase_matches, avg(player_kills) AS mean_player_kills, avg(player_dmg) AS mean_player_dmg, avg(walk_ratio) AS mean_walk_ratio,
-    stddev_samp(player_kills) AS std_kills, avg(early_kill_ratio) FILTER (WHERE player_kills > 0) AS mean_early_kill_ratio, avg(CAST(player_kills > 0 AS INTEGER)) AS kill_active, avg(CAST(early_kills > 0 AS INTEGER)) AS early_combat_match_ratio,
+  SELECT player_name, team_size_mode, count(*) AS games, count(*) FILTER (WHERE timing_status = 'phase_observed' AND player_kills > 0) AS phase_matches, avg(player_kills) AS mean_player_kills, avg(player_dmg) AS mean_player_dmg, avg(walk_ratio) AS mean_walk_ratio,
+    stddev_samp(player_kills) AS std_kills, avg(early_kill_ratio) FILTER (WHERE timing_status = 'phase_observed' AND player_kills > 0) AS mean_early_kill_ratio, avg(CAST(player_kills > 0 AS INTEGER)) AS kill_active, avg(CASE timing_status WHEN 'confirmed_no_kill' THEN 0 WHEN 'phase_observed' THEN CAST(early_kills > 0 AS INTEGER) END) AS early_combat_match_ratio,
     avg(player_survive_time) FILTER (WHERE valid_survival) AS mean_survival, avg(normalized_placement) AS mean_placement
   FROM wide WHERE split <> 'test' GROUP BY 1, 2)
 """
@@ -596,7 +597,9 @@ PROFILE_COLUMNS = ["player_name", "team_size_mode", "games", "phase_matches", "m
 def profile_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = base(spark, sf_dir)
     ratio = {f"{p}_kill_ratio": F.col("walk_ratio") for p in ("early", "mid", "late")}
-    return b.withColumns({"timing_status": F.lit("phase_observed"), "early_kills": F.col("player_dbno"), **ratio})
+    fifth = F.col("source_row") % 5
+    status = F.when(F.col("player_kills") == 0, "confirmed_no_kill").when(fifth == 0, "event_missing").when(fifth == 1, "absolute_only").otherwise("phase_observed")
+    return b.withColumns({"timing_status": status, "early_kills": F.col("player_dbno"), **ratio})
 
 
 @query(PROFILE_SQL + "SELECT " + ", ".join(c if c in PROFILE_COLUMNS[:4] else f"round({c}, {3 if 'dmg' in c else 6}) AS {c}" for c in PROFILE_COLUMNS) + " FROM prof", "base")
@@ -693,10 +696,16 @@ def hierarchical_metrics(spark, sf_dir):
     return rounded(V.hierarchical(side(predicted(spark, sf_dir), "b")))
 
 
-@query("WITH a AS (" + metric_sql("pred", "predicted_a") + "), b AS (" + metric_sql("pred", "predicted_b") + ") " + " UNION ALL ".join(
-    f"SELECT 'micro' AS aggregation, '{m}' AS metric, a.{m} AS reference, b.{m} AS candidate, round(b.{m} - a.{m}, 4) AS delta FROM a, b" for m in V.METRICS), "pred")
+def side_sql(s: str) -> list[str]:
+    p, team = f"predicted_{s}", TEAM.replace("predicted_b", f"predicted_{s}")
+    return [f"{k}_{s} AS ({q})" for k, q in (("micro", metric_sql("pred", p)), ("match_aware", metric_sql("pred", p, MATCH_WEIGHT)), ("team_aware", metric_sql(team, p)))]
+
+
+@query("WITH " + ", ".join(side_sql("a") + side_sql("b")) + " " + " UNION ALL ".join(
+    f"SELECT '{k}' AS aggregation, '{m}' AS metric, a.{m} AS reference, b.{m} AS candidate, round(b.{m} - a.{m}, 4) AS delta FROM {k}_a a, {k}_b b" for k in ("micro", "match_aware", "team_aware") for m in V.METRICS), "pred")
 def paired_deltas(spark, sf_dir):
-    d = V.deltas(predicted(spark, sf_dir)).where(F.col("aggregation") == "micro")
+    p = predicted(spark, sf_dir).withColumn("row_id", F.concat_ws("/", "match_id", "source_file", "source_row"))
+    d = V.deltas(V.paired(*(side(p.drop(f"predicted_{o}"), s) for s, o in ("ab", "ba"))))
     return d.select("aggregation", "metric", F.round("reference", 6).alias("reference"), F.round("candidate", 6).alias("candidate"), F.round("delta", 4).alias("delta"))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skirmish.functions.stats import if_finite, number_of, quantile
+from skirmish.functions.stats import if_finite, number_of
+from skirmish.operators.eda import quantiles
 from skirmish.session import share_code
 
 
@@ -137,7 +138,7 @@ def fit_linear(train: DataFrame, features: list[str], target: str, logs: list[st
 def baseline(train: DataFrame, target: str, kind: str) -> float:
     """The training mean or the exact training median."""
     y = F.col(target).cast("double")
-    return train.agg((F.avg(y) if kind == "mean" else quantile(y, 0.5)).alias("v")).first()["v"]
+    return train.agg(F.avg(y).alias("v")).first()["v"] if kind == "mean" else quantiles(train, target, (0.5,)).first()[0]
 
 
 def predictions(rows: DataFrame, target: str, predicted: Column, experiment: str) -> DataFrame:

@@ -22,7 +22,6 @@ from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skirmish.functions.stats import quantile
 from skirmish.operators import clean as C
 from skirmish.operators import clusters as K
 from skirmish.operators import eda as E
@@ -303,7 +302,7 @@ def predict(ctx: Context, out: str) -> dict:
         p = ctx.spark.read.parquet(f"{out}/predictions/experiment={name}")
         V.check_predictions(p)
         facts[name] = {s: [r.asDict() for r in V.hierarchical(p.where(F.col("split") == s), task != "s1").collect()] for s in ("validation", "test")}
-        edges = train.agg(*(quantile(F.col(target).cast("double"), q).alias(f"q{i}") for i, q in enumerate(ctx.options["region_shares"]))).first()
+        edges = E.quantiles(train, target, tuple(ctx.options["region_shares"])).first()
         facts[name]["edges"] = list(edges)
     read = lambda n: ctx.spark.read.parquet(f"{out}/predictions/experiment={n}")
     for split in ("validation", "test"):
