@@ -53,14 +53,35 @@ def features_of(text: str | None) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in BEGINNINGS if len(w) > k}
 
 
+@dataclass
+class Marks:
+    """A matrix of zeros and ones by the places of its ones."""
+
+    row: np.ndarray
+    column: np.ndarray
+    rows: int
+    columns: int
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, v[self.column], self.rows)
+
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        """By column, the sum of the weights of its rows."""
+        return np.bincount(self.column, weight[self.row], self.columns)
+
+    def where(self, keep: np.ndarray) -> Marks:
+        inside = keep[self.row]
+        return Marks((np.cumsum(keep) - 1)[self.row[inside]], self.column[inside], int(keep.sum()), self.columns)
+
+
 @dataclass
 class Link:
     category: str
     weights: np.ndarray  # of the words, then of the earlier categories' probabilities
     bias: float
 
-    def probability(self, x: np.ndarray, earlier: np.ndarray) -> np.ndarray:
-        z = x @ self.weights[: x.shape[1]] + earlier @ self.weights[x.shape[1] :] + self.bias
+    def probability(self, x: Marks, earlier: np.ndarray) -> np.ndarray:
+        z = x.times(self.weights[: x.columns]) + earlier @ self.weights[x.columns :] + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -70,14 +91,12 @@ class Chain:
     links: list[Link]
     threshold: float = 0.5
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
+    def features(self, texts: list[str | None]) -> Marks:
         at = {w: i for i, w in enumerate(self.words)}
         known = set(at)
-        x = np.zeros((len(texts), len(at)))
-        for r, t in enumerate(texts):
-            for w in known & features_of(t):
-                x[r, at[w]] = 1
-        return x
+        found = [sorted(at[w] for w in known & features_of(t)) for t in texts]
+        row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        return Marks(row, np.array([c for f in found for c in f], dtype=np.int64), len(texts), len(at))
 
     def predict(self, texts: list[str | None]) -> dict[str, np.ndarray]:
         x = self.features(texts)
@@ -89,17 +108,21 @@ class Chain:
         return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.5) -> tuple[np.ndarray, float]:
-    """Penalised logistic regression by Newton steps."""
-    full = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(full.shape[1])
+def logistic(x: Marks, earlier: np.ndarray, y: np.ndarray, penalty: float = 0.5) -> tuple[np.ndarray, float]:
+    """Penalised logistic regression by Newton steps; earlier: a few dense columns beside the marks."""
+    dense = np.column_stack([earlier, np.ones(x.rows)])
+    k = x.columns
+    w = np.zeros(k + dense.shape[1])
     if not y.any():  # nothing to tell from: never
         return w[:-1], -500.0
-    ridge = np.append(np.full(x.shape[1], penalty), 1e-6)
+    ridge = np.append(np.full(len(w) - 1, penalty), 1e-6)
+    times = lambda v: x.times(v[:k]) + dense @ v[k:]
+    sums = lambda u: np.concatenate([x.sums(u), dense.T @ u])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(full @ w, -500, 500)))
+        p = 1 / (1 + np.exp(-np.clip(times(w), -500, 500)))
         s = np.maximum(p * (1 - p), 1e-6)
-        step = _solved(lambda v, s=s: full.T @ (s * (full @ v)) + ridge * v, full.T @ (y - p) - ridge * w, (full * full).T @ s + ridge)
+        diagonal = np.concatenate([x.sums(s), (dense * dense).T @ s]) + ridge
+        step = _solved(lambda v, s=s: sums(s * times(v)) + ridge * v, sums(y - p) - ridge * w, diagonal)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
@@ -111,8 +134,9 @@ def _solved(product: Callable[[np.ndarray], np.ndarray], b: np.ndarray, diagonal
     v, r = np.zeros(len(b)), b.copy()
     z = r / diagonal
     d, rz = z.copy(), r @ z
+    small = 1e-16 * rz
     for _ in range(2 * len(b)):
-        if np.abs(r).max(initial=0) < 1e-10:
+        if rz <= small:
             break
         q = product(d)
         a = rz / (d @ q)
@@ -159,13 +183,12 @@ def train(texts: list[str | None], toxic: np.ndarray, seed: int = 3) -> Chain:
     held = [words_of(t) & every if v else set() for t, v in zip(texts, y, strict=True)]
     for category in CATEGORIES:
         target = y if category == "toxic" else np.array([bool(s & seeds[category]) for s in held], dtype=float)
-        full = np.column_stack([x, earlier])
         unseen = np.full(len(y), target.mean())
         for k in range(FOLDS):
             if 0 < target[fold != k].sum() < (fold != k).sum() and (fold == k).any():
-                w, b = logistic(full[fold != k], target[fold != k])
-                unseen[fold == k] = Link(category, w, b).probability(x[fold == k], earlier[fold == k])
-        chain.links.append(Link(category, *logistic(full, target)))
+                w, b = logistic(x.where(fold != k), earlier[fold != k], target[fold != k])
+                unseen[fold == k] = Link(category, w, b).probability(x.where(fold == k), earlier[fold == k])
+        chain.links.append(Link(category, *logistic(x, earlier, target)))
         earlier = np.column_stack([earlier, unseen])
     return chain
 

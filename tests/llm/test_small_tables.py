@@ -38,8 +38,10 @@ def test_fit_is_that_of_dense_newton_steps():
     rng = np.random.default_rng(5)
     x = (rng.random((300, 40)) < 0.1).astype(float)
     y = (rng.random(300) < 1 / (1 + np.exp(1 - x[:, :5].sum(axis=1) * 3))).astype(float)
-    w, b = toxicity.logistic(x, y)
-    full, ridge, v = np.column_stack([x, np.ones(300)]), np.append(np.full(40, 0.5), 1e-6), np.zeros(41)
+    marks = toxicity.Marks(*np.nonzero(x), *x.shape)
+    dense = rng.random((300, 2))
+    w, b = toxicity.logistic(marks, dense, y)
+    full, ridge, v = np.column_stack([x, dense, np.ones(300)]), np.append(np.full(42, 0.5), 1e-6), np.zeros(43)
     for _ in range(60):
         p = 1 / (1 + np.exp(-full @ v))
         v += np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full + np.diag(ridge), full.T @ (y - p) - ridge * v)
