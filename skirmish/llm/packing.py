@@ -256,9 +256,14 @@ def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     The sequences of a packing partition come before those of the next; those of exchanged pieces, few for each partition,
     come last. The driver gets at most capacity counts for each packing partition. The plan is as small: it depends on the number of lengths only.
+
+    Pieces are narrow and streamed, so as many partitions as there are cores hold them, whatever the numbers of input and
+    shuffle partitions: each file on a local disk makes the executor's JVM start processes, and a process that is just being
+    started counts with all of the JVM's memory.
     """
     kept = [f for f in items.schema.fields if f.name != "class"]
-    ranked = numbered(items, "class", rank="rank")
+    parts = max(PARTITIONS, items.sparkSession.sparkContext.defaultParallelism)
+    ranked = numbered(items.repartition(parts), "class", rank="rank").coalesce(parts)
     rows = ranked.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()
     histograms: dict[int, dict[int, int]] = defaultdict(dict)
     for r in rows:
